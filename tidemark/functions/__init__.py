@@ -1 +1 @@
-
+"""Column expressions: types, predicates, partition transforms, encoding analytics."""

@@ -1 +1 @@
-
+"""Operators over DataFrames: profiles, overlap groups, layout."""

@@ -1,9 +1,21 @@
 """Registered queries over the reference operators, and the SQL that they must agree with."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _modules():
+    from tidemark.plans import column_queries, relational_queries, table_queries
+
+    return table_queries, column_queries, relational_queries
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in _modules() for k, s in m.ORACLE_SQL.items()}

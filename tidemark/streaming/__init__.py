@@ -1 +1 @@
-
+"""Streaming sinks."""
