@@ -5,18 +5,17 @@ sorted, and recursion names longer strings for those that remain:
 
 1. In every string of LENGTH bytes the least-hashed 32-gram is its sample, so equal strings have equal
    samples at equal offsets. Samples are named, and names that occur once drop out with all strings that
-   they stand for.
-2. The strings that a remaining sample stands for are taken in blocks of 32 starts, by their distance from
-   the sample. A block's union and the part that all its strings share are named: if the union's name
-   occurs again, so do all strings and the block is settled; if the shared part's doesn't, none does.
+   they stand for. The union of a sample's strings is named too: if that occurs again, the sample is
+   settled, and all its strings are repeated.
+2. Samples that aren't settled, and settled ones whose name one of the former has, are cut into blocks of
+   32 starts by their distance from the sample. A block's union and the part that all its strings share
+   are named: if the union occurs again the block is settled; if the shared part doesn't, no string does.
 3. The strings of open blocks, and of settled ones whose shared part an open block has, are named one by
    one.
 
-A name is a 64-bit hash, and names are compared by aggregating them. Rounds are linear in the text.
-
-Equal texts are one text with a number of copies (equal texts in one task meet before the shuffle), and
-all of it goes if it is long enough. Null texts count as empty: no bytes, nothing removed. Matches never
-cross texts; rows with the same doc_id are judged apart.
+A name is a 64-bit hash, and names are compared by aggregating them. Rounds are linear in the text; no
+step needs the rows of a name together. Null texts count as empty: no bytes, nothing removed. Matches
+never cross texts; rows with the same doc_id are judged apart, and copies of each other go whole.
 """
 
 from __future__ import annotations
@@ -52,6 +51,16 @@ class Samples:
         self.sample_of = (least & _PLACE).astype(np.int64)  # by start
         self.samples = np.unique(self.sample_of)
         self.names = hashes[self.samples]
+        self.first = np.searchsorted(self.sample_of, self.samples)
+        self.last = np.searchsorted(self.sample_of, self.samples, "right") - 1
+
+    def wide_names(self) -> np.ndarray:
+        """Of the unions of all strings that each sample stands for."""
+        return c.mix(c.slice_hash(self.prefix, self.first, self.last + self.length) + (self.samples - self.first).astype(np.uint64))
+
+    def settled(self, places: np.ndarray) -> np.ndarray:
+        """Ranges (first and last start) of the given samples, neighbours joined."""
+        return _joined(np.stack([self.first[places], self.last[places]], 1))
 
     def blocks(self, chosen: np.ndarray) -> np.ndarray:
         """(sample, block) pairs with a start whose sample is chosen."""
@@ -74,6 +83,10 @@ class Samples:
         shared = c.mix(c.slice_hash(self.prefix, last, first + self.length) - block)  # a start of each is in the text
         return union, shared, whole
 
+    def block_ranges(self, blocks: np.ndarray) -> np.ndarray:
+        first = blocks[:, 0] - blocks[:, 1] * self.block - (self.block - 1)
+        return np.stack([np.maximum(first, 0), np.minimum(first + self.block - 1, self.size - self.length)], 1)
+
     def starts(self, blocks: np.ndarray) -> np.ndarray:
         """The starts of the given blocks that lie in the text."""
         first = blocks[:, 0] - blocks[:, 1] * self.block - (self.block - 1)
@@ -84,6 +97,16 @@ class Samples:
         return c.slice_hash(self.prefix, starts, starts + self.length)
 
 
+def _joined(ranges: np.ndarray) -> np.ndarray:
+    """Ranges (first, last) with those that overlap or touch made one."""
+    if not len(ranges):
+        return ranges
+    ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
+    upto = np.maximum.accumulate(ranges[:, 1])
+    new = np.flatnonzero(np.concatenate([[True], ranges[1:, 0] > upto[:-1] + 1]))
+    return np.stack([ranges[new, 0], np.append(upto[new[1:] - 1], upto[-1])], 1)
+
+
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """Minima of all stretches of this width, in two passes over blocks of it."""
     n = len(x)
@@ -95,56 +118,6 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[: n - width + 1], forward[width - 1 : n])
 
 
-def _distinct(batches: Iterator[pa.RecordBatch], sorted_rows: bool) -> Iterator[pa.RecordBatch]:
-    """(t1, t2, text, copies): equal texts as one row; of a whole task by their hashes, or of sorted rows."""
-    seen: dict[tuple[int, int], int] = {}
-    held: list | None = None
-    for batch in batches:
-        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        copies = batch.column(3).to_pylist()
-        if sorted_rows:
-            keep, total = [], []
-            for i, k in enumerate(keys):
-                if held and held[0] == k:
-                    held[1] += copies[i]
-                else:
-                    if held:
-                        keep.append(held[2])
-                        total.append(held[1])
-                    held = [k, copies[i], batch.slice(i, 1)]
-            if keep:
-                out = pa.Table.from_batches(keep).combine_chunks().to_batches()[0]
-                yield pa.RecordBatch.from_arrays([*out.columns[:3], pa.array(total, pa.int64())], names=out.schema.names)
-        else:
-            first = []
-            for i, k in enumerate(keys):
-                if k not in seen:
-                    first.append(i)
-                seen[k] = seen.get(k, 0) + copies[i]
-            if first:
-                out = batch.take(pa.array(first))
-                yield pa.RecordBatch.from_arrays([*out.columns[:3], pa.array([1] * len(first), pa.int64())], names=out.schema.names)
-    if held:
-        yield pa.RecordBatch.from_arrays([*held[2].columns[:3], pa.array([held[1]], pa.int64())], names=held[2].schema.names)
-    if not sorted_rows:
-        # the further copies, without their text: each stands for its count less the one sent
-        more = [(a, b, n - 1) for (a, b), n in seen.items() if n > 1]
-        if more:
-            a, b, n = zip(*more, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.string()), pa.array(n, pa.int64())], names=["t1", "t2", "text", "copies"])
-
-
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """t1, t2, text and copies of each distinct text; a task sends each text once, however often it has it."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"), F.lit(1).cast("long").alias("copies"))
-    schema = "t1 long, t2 long, text string, copies long"
-    once = rows.mapInArrow(lambda b: _distinct(b, False), schema)
-    # with nulls last, the row that has the text comes first
-    met = once.repartition("t1").sortWithinPartitions("t1", "t2", F.col("text").isNull())
-    return met.mapInArrow(lambda b: _distinct(b, True), schema)
-
-
 def _repeated(names: DataFrame) -> DataFrame:
     """rid and the places (array) whose name occurs at least twice. names: rid, place, name."""
     twice = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
@@ -161,97 +134,119 @@ def _list(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.array(values, pa.list_(kind))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """Distinct texts (rid, t1, t2, copies, text, ...) and, for some rids, the starts of repeated strings."""
-    spark = docs.sparkSession
-    c.small_batches(spark)
+def _verdicts(each: DataFrame, union: str, shared: str) -> DataFrame:
+    """rid, settled and asked (arrays of places). each: rid, place, whole (has a union), union, shared.
+
+    What is settled by one union is the same everywhere, so one text asks on behalf of all.
+    """
+    again = each.where("whole").groupBy(union).agg(F.count("*").alias("n"), F.min("rid").alias("asks")).where("n > 1").drop("n")
+    settled = F.col("whole") & F.col("asks").isNotNull()
+    each = each.join(again, union, "left").select("rid", "place", shared, settled.alias("settled"), (~settled | (F.col("rid") == F.col("asks"))).alias("asks"))
+    open_ = each.groupBy(shared).agg(F.count("*").alias("n"), F.max(~F.col("settled")).alias("open")).where("n > 1 and open").select(shared, F.lit(True).alias("open"))
+    each = each.join(open_, shared, "left").withColumn("asked", F.col("open").isNotNull() & F.col("asks")).where("settled or asked")
+    return each.groupBy("rid").agg(F.collect_list(F.when(F.col("settled"), F.col("place"))).alias("settled"), F.collect_list(F.when(F.col("asked"), F.col("place"))).alias("asked"))
+
+
+def _raw(x) -> np.ndarray:
+    return np.frombuffer(x.as_py().encode(), np.uint8)
+
+
+def _places(column: pa.Array) -> list[np.ndarray]:
+    return [np.array(x or [], np.int64) for x in column.to_pylist()]
+
+
+def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """All texts (rid, doc_id, n_bytes, digest), and for some of them text and starts of repeated strings."""
+    c.small_batches(docs.sparkSession)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = []
-            for x in batch.column(2):
-                raw = np.frombuffer(x.as_py().encode(), np.uint8)
-                names.append(Samples(raw, length).names.view(np.int64) if len(raw) >= length else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, _list(names, pa.int64())], names=[*batch.schema.names, "names"])
-
-    texts = distinct_texts(docs).mapInArrow(sample, "t1 long, t2 long, text string, copies long, names array<long>")
-    texts = c.staged(texts.withColumn("rid", F.monotonically_increasing_id()), "texts")
+            names, wide = [], []
+            for x in batch.column(1):
+                raw = _raw(x)
+                one = Samples(raw, length) if len(raw) >= length else None
+                names.append(one.names.view(np.int64) if one else np.zeros(0, np.int64))
+                wide.append(one.wide_names().view(np.int64) if one else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, _list(names, pa.int64()), _list(wide, pa.int64())], names=["doc_id", "text", "names", "wide"])
+
+    key = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sample, f"doc_id {key}, text string, names array<long>, wide array<long>")
+    texts = texts.select("doc_id", "text", "names", "wide", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    full = texts = c.staged(texts.withColumn("rid", F.monotonically_increasing_id()), "texts")
+    each = texts.select("rid", F.posexplode(F.arrays_zip("names", "wide")).alias("place", "s")).select("rid", "place", "s.*")
+    twice = each.groupBy("names").agg(F.count("*").alias("n")).where("n > 1").select("names")
+    samples = c.staged(each.join(twice, "names").withColumn("whole", F.lit(True)), "samples")
     _release(texts)
-    chosen = c.staged(_repeated(texts.select("rid", F.posexplode("names").alias("place", "name"))), "samples")
+    chosen = c.staged(_verdicts(samples, "wide", "names"), "samples-judged")
     _release(texts)
 
     def name_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for x, places in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                samples = Samples(np.frombuffer(x.as_py().encode(), np.uint8), length)
-                blocks = samples.blocks(np.array(places))
+            out: list[list] = [[], [], [], [], []]
+            for x, settled, asked in zip(batch.column(1), _places(batch.column(2)), _places(batch.column(3)), strict=True):
+                samples = Samples(_raw(x), length)
+                blocks = samples.blocks(asked)
                 union, shared, whole = samples.block_names(blocks)
-                for held, values in zip(out, (blocks.ravel().astype(np.int32), union.view(np.int64), shared.view(np.int64), whole), strict=True):
-                    held.append(values)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(_list, out, kinds)], names=["rid", "text", "blocks", "unions", "shared", "whole"])
+                values = (samples.settled(settled).ravel().astype(np.int32), blocks.ravel().astype(np.int32), union.view(np.int64), shared.view(np.int64), whole)
+                for held, v in zip(out, values, strict=True):
+                    held.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(_list, out, kinds)], names=["rid", "text", "known", "blocks", "unions", "shared", "whole"])
 
-    blocks = texts.select("rid", "text").join(chosen, "rid").mapInArrow(name_blocks, "rid long, text string, blocks array<int>, unions array<long>, shared array<long>, whole array<boolean>")
+    blocks = texts.select("rid", "text").join(chosen, "rid").mapInArrow(name_blocks, "rid long, text string, known array<int>, blocks array<int>, unions array<long>, shared array<long>, whole array<boolean>")
     blocks = c.staged(blocks, "blocks")
+    texts = c.staged(full.select("rid", "doc_id", "n_bytes", "digest"), "digests")
+    for done in (full, samples, chosen):
+        c.unstage(done)
     _release(texts)
     each = blocks.select("rid", F.posexplode(F.arrays_zip("unions", "shared", "whole")).alias("place", "b")).select("rid", "place", "b.*")
-    again = each.where("whole").groupBy("unions").agg(F.count("*").alias("n")).where("n > 1").select("unions", F.lit(True).alias("again"))
-    each = each.join(again, "unions", "left").select("rid", "place", "shared", (F.col("whole") & F.col("again").isNotNull()).alias("settled"))
-    asked = each.groupBy("shared").agg(F.count("*").alias("n"), F.max(~F.col("settled")).alias("open")).where("n > 1 and open").select("shared", F.lit(True).alias("asked"))
-    each = each.join(asked, "shared", "left").where("settled or asked")
-    judged = each.groupBy("rid").agg(F.collect_list(F.when(F.col("settled"), F.col("place"))).alias("settled"), F.collect_list(F.when(F.col("asked"), F.col("place"))).alias("asked"))
-    judged = c.staged(judged, "blocks-judged")
+    judged = c.staged(_verdicts(each, "unions", "shared"), "blocks-judged")
     _release(texts)
 
     def name_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int32(), pa.int64())
         for batch in batches:
             out: list[list] = [[], [], []]
-            for x, flat, settled, open_ in zip(batch.column(1), batch.column(2), *(batch.column(i).to_pylist() for i in (3, 4)), strict=True):
-                samples = Samples(np.frombuffer(x.as_py().encode(), np.uint8), length)
-                every = flat.values.to_numpy().reshape(-1, 2).astype(np.int64)
-                known, asked = (samples.starts(every[np.array(places, np.int64)]) for places in (settled, open_))
-                out[0].append(known.astype(np.int32))
+            for x, known, flat, settled, open_ in zip(batch.column(1), *map(_places, batch.columns[2:]), strict=True):
+                every = flat.reshape(-1, 2)
+                samples = Samples(_raw(x), length)
+                asked = samples.starts(every[open_])
+                ranges = np.concatenate([known.reshape(-1, 2), samples.block_ranges(every[settled])])
+                out[0].append(_joined(ranges).ravel().astype(np.int32))
                 out[1].append(asked.astype(np.int32))
                 out[2].append(samples.start_names(asked).view(np.int64))
-            kinds = (pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(_list, out, kinds)], names=["rid", "known", "asked", "names"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(_list, out, kinds)], names=["rid", "text", "known", "asked", "names"])
 
-    left = blocks.select("rid", "text", "blocks").join(judged, "rid")
-    starts = c.staged(left.mapInArrow(name_starts, "rid long, known array<int>, asked array<int>, names array<long>"), "starts")
+    left = blocks.select("rid", "text", "known", "blocks").join(judged, "rid", "left")
+    starts = c.staged(left.mapInArrow(name_starts, "rid long, text string, known array<int>, asked array<int>, names array<long>"), "starts")
     _release(texts)
+    c.unstage(blocks)
     found = _repeated(starts.select("rid", F.posexplode("names").alias("place", "name")))
-    return texts, starts.select("rid", "known", "asked").join(found, "rid", "left")
+    return texts, starts.select("rid", "text", "known", "asked").join(found, "rid", "left")
 
 
 def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    texts, spans = repeated_spans(docs, length)
-    spans = c.staged(spans, "spans")
-    empty = hashlib.sha256(b"").hexdigest()
+    texts, starts = repeated_starts(docs, length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, runs, digests = [], [], []
-            for x, known, asked, places in zip(batch.column(3), *(batch.column(i).to_pylist() for i in (4, 5, 6)), strict=True):
-                raw = np.frombuffer(x.as_py().encode(), np.uint8)
+            for x, known, asked, places in zip(batch.column(1), *map(_places, batch.columns[2:]), strict=True):
+                raw = _raw(x)
                 edge = np.zeros(len(raw) + 1, np.int32)
-                at = np.concatenate([np.array(known, np.int64), np.array(asked, np.int64)[np.array(places or [], np.int64)]])
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + length, -1)
+                first, last = np.concatenate([known.reshape(-1, 2), np.stack([asked[places]] * 2, 1)]).T
+                np.add.at(edge, first, 1)
+                np.add.at(edge, last + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 removed.append(int(gone.sum()))
                 runs.append(len(c.spans_of(gone, np.zeros(0, np.int64))[0]))
                 digests.append(hashlib.sha256(raw[~gone].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())], names=["t1", "t2", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    size = F.octet_length("text").cast("long")
-    copied = (F.col("copies") > 1) & (size >= length)
-    schema = "t1 long, t2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    edited = texts.where(~copied).join(spans, "rid").select("t1", "t2", size.alias("n_bytes"), "text", "known", "asked", "places").mapInArrow(cut, schema)
-    whole = texts.where(copied).select("t1", "t2", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"))
-    same = texts.where(~copied).join(spans, "rid", "left_anti").select("t1", "t2", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
-    results = c.staged(edited.unionByName(whole).unionByName(same), "removed")
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
-    return rows.join(results, ["t1", "t2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())], names=["rid", "n_removed", "n_spans", "kept_sha256"])
+
+    edited = c.staged(starts.mapInArrow(cut, "rid long, n_removed long, n_spans long, kept_sha256 string"), "removed")
+    _release(texts)
+    zero = F.lit(0).cast("long")
+    return texts.join(edited, "rid", "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "digest").alias("kept_sha256")
+    )
