@@ -178,6 +178,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
     samples = c.staged(each.join(twice, "names").withColumn("whole", F.lit(True)), "samples")
     _release(texts)
     chosen = c.staged(_verdicts(samples, "wide", "names"), "samples-judged")
+    c.unstage(samples)
     _release(texts)
 
     def name_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +197,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
     blocks = texts.select("rid", "text").join(chosen, "rid").mapInArrow(name_blocks, "rid long, text string, known array<int>, blocks array<int>, unions array<long>, shared array<long>, whole array<boolean>")
     blocks = c.staged(blocks, "blocks")
     texts = c.staged(full.select("rid", "doc_id", "n_bytes", "digest"), "digests")
-    for done in (full, samples, chosen):
+    for done in (full, chosen):
         c.unstage(done)
     _release(texts)
     each = blocks.select("rid", F.posexplode(F.arrays_zip("unions", "shared", "whole")).alias("place", "b")).select("rid", "place", "b.*")
