@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, decontaminate, licenses, pii, quality, secrets, sharding, simhash, suffix_dedup
+from tidemark.llm import byte_bpe, compact_windows, decontaminate, licenses, pii, quality, secrets, sharding, simhash, suffix_dedup
 from tidemark.llm.common import documents
 
 #: For the registered query only; real runs pass a key of their own.
@@ -16,6 +16,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, sf_dir), DEMO_KEY)
 
 
+def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_passages(documents(spark, sf_dir))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -49,5 +53,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_license_scan, op4_suffix_dedup, op5_simhash, op6_secret_scan, op7_sharding, op8_byte_bpe, op9_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_compact_windows, op3_license_scan, op4_suffix_dedup, op5_simhash, op6_secret_scan, op7_sharding, op8_byte_bpe, op9_quality, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
