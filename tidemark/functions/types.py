@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import types as T
 
 from tidemark.errors import SchemaError
@@ -19,10 +21,49 @@ CHAINS = (("int8", "int16", "int32", "int64"), ("uint8", "uint16", "uint32", "ui
 _BITS = {"int8": 8, "int16": 16, "int32": 32, "int64": 64, "uint8": 8, "uint16": 16, "uint32": 32, "uint64": 64}
 
 
+_SIMPLE = {kind.simpleString(): kind for kind in CARRIERS.values()}
+
+
+def _members(text: str) -> list[str]:
+    """The parts between commas outside any brackets."""
+    parts, depth = [""], 0
+    for ch in text:
+        depth += (ch in "<(") - (ch in ">)")
+        if ch == "," and not depth:
+            parts.append("")
+        else:
+            parts[-1] += ch
+    return [x.strip() for x in parts]
+
+
+def _plain(text: str) -> T.DataType | None:
+    """A decimal, nested or simple type the way Spark writes it, read without a session; None for other spellings."""
+    if m := re.fullmatch(r"decimal\((\d+),\s*(\d+)\)", text):
+        precision, scale = map(int, m.groups())
+        return T.DecimalType(precision, scale) if scale <= precision <= 38 else None
+    m = re.fullmatch(r"(array|map|struct)<(.*)>", text)
+    if not m:
+        return _SIMPLE.get(text)
+    parts = _members(m[2])
+    names, kinds = ["", ""], parts
+    if m[1] == "struct":
+        names, kinds = [p.partition(":")[0] for p in parts], [p.partition(":")[2] for p in parts]
+        if any(not re.fullmatch(r"\w+", name) for name in names):
+            return None
+    inner = [_plain(k) for k in kinds]
+    if None in inner or len(inner) != {"array": 1, "map": 2}.get(m[1], len(inner)):
+        return None
+    if m[1] == "struct":
+        return T.StructType([T.StructField(n, k) for n, k in zip(names, inner, strict=True)])
+    return T.ArrayType(*inner) if m[1] == "array" else T.MapType(*inner)
+
+
 def carrier(dtype: str) -> T.DataType:
     """The Spark type of a dtype; decimal(p,s) and nested types are written the way Spark writes them."""
     if dtype in CARRIERS:
         return CARRIERS[dtype]
+    if (kind := _plain(dtype)) is not None:
+        return kind
     try:
         return T.DataType.fromDDL(dtype)
     except Exception as e:
