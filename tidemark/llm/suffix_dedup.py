@@ -222,7 +222,9 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
     starts = c.staged(left.mapInArrow(name_starts, "rid long, text string, known array<int>, asked array<int>, names array<long>"), "starts")
     _release(texts)
     c.unstage(blocks)
-    found = _repeated(starts.select("rid", F.posexplode("names").alias("place", "name")))
+    # written before the texts are shuffled once more, so that the names' shuffle files are gone by then
+    found = c.staged(_repeated(starts.select("rid", F.posexplode("names").alias("place", "name"))), "starts-judged")
+    _release(texts)
     return texts, starts.select("rid", "text", "known", "asked").join(found, "rid", "left")
 
 
