@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontaminate, quality, secrets, simhash
+from tidemark.llm import byte_bpe, decontaminate, jaccard, quality, secrets
 from tidemark.llm.common import documents, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,6 +20,11 @@ def _rows(docs: DataFrame, decisions: DataFrame, how: str = "inner") -> DataFram
     return docs.join(decisions, "doc_id", how)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a key of their own for each row, which repeated and null doc_ids aren't."""
+    return staged(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the likelihood ratio keep."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -28,9 +33,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return _rows(docs, first, "left_semi").select(*COLUMNS)
+    """The row of the smallest doc_id (nulls last) of each group of near copies: five-word Jaccard of 0.8 or more, linked singly."""
+    rows = _keyed(docs)
+    grouped = rows.select("row", "doc_id").join(jaccard.similar(rows), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("first.row")
+    return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +66,10 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality rules", quality_rules), ("simhash near-dedup", near_duplicates), ("benchmark decontamination", decontamination), ("secret scans", secret_scan), ("byte-level bpe", tokenise),
+    ("quality rules", quality_rules), ("jaccard near-dedup", near_duplicates), ("benchmark decontamination", decontamination), ("secret scans", secret_scan), ("byte-level bpe", tokenise),
 ]
 
-#: Likelihood ratios, SimHash and BPE can't be said in SQL.
+#: Likelihood ratios, Jaccard groups and BPE can't be said in SQL.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,119 @@
+"""Groups of texts by the exact Jaccard similarity of their shingle sets.
+
+Two sets that are similar enough share an element among the first few of each, in any order that holds for all
+(prefix filter); the order is by rarity, counted in BUCKETS cells, so the first few are mostly in one text
+only and drop out. Every candidate pair is verified on the whole sets. What the first round, in which texts
+meet the smallest of each prefix element only, has connected already isn't compared again in the second, in
+which all others meet; single linkage is the same as with all pairs.
+
+Equal sets are one set. Texts of fewer words than a shingle has are one shingle; null and empty texts have
+equal (empty) sets.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm import common as c
+from tidemark.llm.graph import components
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BUCKETS = 1 << 20
+#: Texts of one prefix element that meet in one block.
+BLOCK = 256
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; words as in `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased."""
+    low = c.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
+    start, end = c.spans_of(c.NOT_SPACE[low], np.zeros(0, np.int64))
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    h = c.slice_hash(c.prefix_sums(low), start, end)
+    m = max(1, len(h) - shingle + 1)
+    out = np.zeros(m, np.uint64)
+    for k in range(min(shingle, len(h))):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + m]
+    return np.unique(c.mix(out))
+
+
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
+
+
+def _sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """row, digest and size of the set, and its prefix."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(n, _cell(shingles(x.as_py(), shingle)), 1)
+        cell = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n[cell])], names=["cell", "n"])
+
+    counted = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    often = np.zeros(BUCKETS, np.int64)
+    often[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, sizes, prefixes = [], [], []
+            for x in batch.column(1):
+                t = shingles(x.as_py(), shingle)
+                first = np.lexsort((t, often[_cell(t)]))[: len(t) - int(np.ceil(similarity * len(t) - 1e-9)) + 1]
+                digests.append(hashlib.blake2b(t.tobytes(), digest_size=16).digest())
+                sizes.append(len(t))
+                prefixes.append(t[first].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["row", "digest", "size", "prefix"])
+
+    return docs.select("row", "text").mapInArrow(run, "row long, digest binary, size long, prefix array<long>")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
+                left, right = shingles(x, shingle), shingles(y, shingle)
+                same = len(np.intersect1d(left, right, True))
+                good.append(same >= similarity * (len(left) + len(right) - same) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+
+    texts = docs.select("row", "text")
+    both = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(row, component): the smallest row reachable, for all rows of staged docs (row, text) that have a partner."""
+    c.small_batches(docs.sparkSession, 500, 4)
+    sets = c.staged(_sets(docs, shingle, similarity), "sets")
+    copies = sets.groupBy("digest").agg(F.min("row").alias("rep"))
+    equal = sets.join(copies, "digest").where("row <> rep").select(F.col("row").alias("a"), F.col("rep").alias("b"))
+    each = sets.join(copies.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "size", F.explode("prefix").alias("name"))
+    heads = each.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("size", "row")).alias("head")).where("n > 1")
+    shared = c.staged(each.join(heads, "name"), "prefixes")
+    close = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+    stars = shared.where((F.col("row") != F.col("head.row")) & close(F.col("size"), F.col("head.size"))).select(F.col("head.row").alias("a"), F.col("row").alias("b")).distinct()
+    first = c.staged(_verified(stars, docs, shingle, similarity).unionByName(equal), "first-links")
+    parts = c.staged(components(first).select(F.col("node").alias("row"), "component"), "first-components")
+    now = shared.drop("n", "head").join(parts, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    apart = now.groupBy("name").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("n")).where("p < q")
+    open_ = now.join(apart.select("name", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "name").withColumn("own", F.pmod(F.xxhash64("row"), "blocks"))
+    side = F.struct("row", "size", "component")
+    left = open_.select("name", F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("hi"), side.alias("l"))
+    right = open_.select("name", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("lo"), F.col("own").alias("hi"), side.alias("r"))
+    pairs = left.join(right, ["name", "lo", "hi"]).where(F.expr("(lo < hi or l.row < r.row) and l.component <> r.component") & close(F.col("l.size"), F.col("r.size")))
+    pairs = pairs.select(F.least("l.row", "r.row").alias("a"), F.greatest("l.row", "r.row").alias("b")).distinct()
+    second = _verified(pairs, docs, shingle, similarity)
+    return components(c.staged(first.unionByName(second), "second-links")).withColumnRenamed("node", "row")
