@@ -16,20 +16,27 @@ from tidemark.llm.common import documents, staged
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _rows(docs: DataFrame, decisions: DataFrame, how: str = "inner") -> DataFrame:
-    return docs.join(decisions, "doc_id", how)
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """The documents with a key of their own for each row, which repeated and null doc_ids aren't."""
     return staged(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
 
 
+def _by_row(rows: DataFrame) -> DataFrame:
+    """For operators: the rows' own keys as doc_id."""
+    return rows.withColumn("doc_id", F.col("row")).drop("row")
+
+
+def _decided(rows: DataFrame, decisions: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows joined with an operator's decisions on _by_row of them."""
+    return rows.join(decisions.withColumnRenamed("doc_id", "row"), "row", how)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the likelihood ratio keep."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = quality.judge(docs, model).where("kept").select("doc_id").distinct()
-    return _rows(docs, kept, "left_semi").select(*COLUMNS)
+    rows = _keyed(docs)
+    kept = quality.judge(_by_row(rows), model).where("kept").select("doc_id")
+    return _decided(rows, kept, "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,21 +49,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; benchmark passages in the others are cut out."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = staged(found.where("n_hit > 0").select("doc_id", "contaminated", "spans").dropDuplicates(["doc_id"]), "leaks")
+    rows = _keyed(docs)
+    found = decontaminate.contamination(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = staged(found.where("n_hit > 0").select("doc_id", "contaminated", "spans"), "leaks")
     cut = F.udf(lambda text, spans: decontaminate.cut_spans(text, [(s.start, s.end) for s in spans]), "string")
-    clean = _rows(docs, hit, "left_anti").select(*COLUMNS)
-    partly = _rows(docs, hit.where("not contaminated")).withColumn("text", cut("text", "spans")).withColumn("n_chars", F.char_length("text").cast("long"))
+    clean = _decided(rows, hit, "left_anti").select(*COLUMNS)
+    partly = _decided(rows, hit.where("not contaminated")).withColumn("text", cut("text", "spans")).withColumn("n_chars", F.char_length("text").cast("long"))
     return clean.unionByName(partly.select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking secrets are masked; widely copied examples stay."""
-    found = secrets.secrets(docs).where("n_live > 0").select("doc_id", F.filter("marks", lambda m: m.live).alias("marks")).dropDuplicates(["doc_id"])
+    rows = _keyed(docs)
+    found = secrets.secrets(_by_row(rows)).where("n_live > 0").select("doc_id", F.filter("marks", lambda m: m.live).alias("marks"))
     hit = staged(found, "live-secrets")
     mask = F.udf(lambda text, marks: secrets.mask(text, [(m.start, m.end) for m in marks]), "string")
-    clean = _rows(docs, hit, "left_anti").select(*COLUMNS)
-    masked = _rows(docs, hit).withColumn("text", mask("text", "marks")).withColumn("n_chars", F.char_length("text").cast("long"))
+    clean = _decided(rows, hit, "left_anti").select(*COLUMNS)
+    masked = _decided(rows, hit).withColumn("text", mask("text", "marks")).withColumn("n_chars", F.char_length("text").cast("long"))
     return clean.unionByName(masked.select(*COLUMNS))
 
 

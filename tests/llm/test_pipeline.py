@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline as pipeline
 import pytest
-from brute import SPACED, lower
+from brute import SPACED, contamination, lower, quality
 
 from tidemark.llm import jaccard
 
@@ -56,3 +56,34 @@ def test_near_duplicates_by_jaccard(spark, block, monkeypatch):
     got = pipeline.near_duplicates(spark, table(spark, [(i, t, "s") for i, t in zip(ids, texts, strict=True)]), "").collect()
     assert len(got) == len(best) and {x.text for x in got} <= set(texts)
     assert sorted((x.doc_id is None, x.doc_id or 0) for x in got) == sorted(min(v) for v in best.values())
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    r = random.Random(5)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    item = prose(20)
+    benchmark = [(0, item)]
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda rows: sorted(((x.doc_id is None, x.doc_id or 0, x.text, x.n_chars) for x in rows))
+    expect = lambda rows: sorted((i is None, i or 0, t, len(t)) for i, t in rows)
+    ids = (1, 1, None, None, 2)
+
+    texts = [prose(70), "too short", prose(80), "short too", prose(60)]
+    got = pipeline.quality_rules(spark, table(spark, [(i, t, "s") for i, t in zip(ids, texts, strict=True)]), str(tmp_path)).collect()
+    assert key(got) == expect([(i, t) for i, t in zip(ids, texts, strict=True) if not quality(t)[5]])
+
+    head, tail = prose(300), prose(300)
+    texts = [f"{head} {item} {tail}", "a clean twin", item, f"{tail} {item} {head}", prose(10)]
+    got = pipeline.decontamination(spark, table(spark, [(i, t, "s") for i, t in zip(ids, texts, strict=True)]), str(tmp_path)).collect()
+    want = [(i, t.replace(item, "")) for i, t in zip(ids, texts, strict=True) if not contamination(t, benchmark)[4]]
+    assert len(want) == 4 and key(got) == expect(want)
+
+    texts = ["x password=mine5678 y", "password=other999", "nothing", "see token=abcdef77 here", "password=last0000"]
+    got = pipeline.secret_scan(spark, table(spark, [(i, t, "s") for i, t in zip(ids, texts, strict=True)]), str(tmp_path)).collect()
+    want = ["x [secret] y", "[secret]", "nothing", "see [secret] here", "[secret]"]
+    assert key(got) == expect(zip(ids, want, strict=True))
+
+    texts = [prose(70)] * 3 + [prose(70), prose(70)]
+    got = pipeline.near_duplicates(spark, table(spark, [(i, t, "s") for i, t in zip(ids, texts, strict=True)]), str(tmp_path)).collect()
+    assert key(got) == expect([(1, texts[0]), (None, texts[3]), (2, texts[4])])
