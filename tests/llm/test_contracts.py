@@ -264,6 +264,26 @@ def test_pseudonyms_keep_formats():
     assert pii.luhn(digits[:-1]) == int(digits[-1]) and p.apply("4111 1111 1111 1111")[0].replace(" ", "") == digits
 
 
+def test_pseudonyms_of_values_beside_words_and_digits():
+    p, back = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", invert=True)
+    iban, card = "DE89370400440532013000", "4111111111111111"
+    plain = {"iban": p.iban(iban), "card": p.card(card)}
+    for value, kind, texts in (
+        (iban, "iban", ("{} BIC COBADEFFXXX", "{} EUR 50", "AB12 REFERENCE {} EUR", "{} {} X", "{}")),
+        (card, "card", ("{} 123", "{} 12/27", "{} 12/27/2024", "{} 31.12.2024", "{} 123 4567 89", "{} {}", "no 12 {} 5", "{}")),
+    ):
+        for text in texts:
+            text = text.replace("{}", value)
+            new, found = p.apply(text)
+            assert value not in new and sum(x[2] == kind for x in found) == text.count(value)
+            assert back.apply(new)[0] == text
+        assert p.apply(value)[0] == plain[kind]
+    for i in range(500):
+        digits = f"4{i:014d}"
+        text = f"{digits}{pii.luhn(digits)} {i % 1000:03d}"
+        assert back.apply(p.apply(text)[0])[0] == text
+
+
 def test_feistel_is_a_permutation():
     for size in (1, 2, 3, 10, 97, 1000):
         f = pii.Feistel(b"k", "t", size)

@@ -26,6 +26,15 @@ ROUNDS = 8
 KINDS = ("email", "iban", "ipv4", "card", "ssn", "date", "phone")
 #: Dates are permuted within these years, which keep four digits.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: How many characters an IBAN has.
+IBAN_LENGTH = {
+    country: n for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items() for country in countries.split()
+}
+#: Groups that a card's digits stand in behind other numbers.
+CARD_GROUPS = re.compile(r"1[3-9]|4 4 4 4(?: [1-3])?|4 6 [45]")
 DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -89,9 +98,9 @@ class Pseudonyms:
 
     PATTERNS = {
         "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", re.A),
-        "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"),
+        "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]*(?![A-Za-z0-9])(?: [A-Z0-9]+(?![A-Za-z0-9]))*"),
         "ipv4": re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
-        "card": re.compile(r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])"),
+        "card": re.compile(r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9])*"),
         "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
         "date": re.compile(r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9]|[./-][0-9])"),
         "phone": re.compile(r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9]|[.-][0-9])"),
@@ -133,6 +142,62 @@ class Pseudonyms:
         check = 98 - mod97(body + plain[:2] + "00")
         return self._refill(text, f"{plain[:2]}{check:02d}{body}", str.isalnum)
 
+    @staticmethod
+    def _ibans(run: str) -> list[tuple[int, int]]:
+        """Valid values in groups of capitals and digits: of the country's length, else as long as can be."""
+        groups, out, at = [m.span() for m in re.finditer("[A-Z0-9]+", run)], [], 0
+        for i, (a, _) in enumerate(groups):
+            if a < at or not re.match("[A-Z]{2}[0-9]{2}", run[a : a + 4]):
+                continue
+            size, ends = 0, {}
+            for x, b in groups[i:]:
+                size += b - x
+                if size > 34:
+                    break
+                ends[size] = b
+            for n in (IBAN_LENGTH.get(run[a : a + 2]), max(ends, default=0)):
+                plain = run[a : ends[n]].replace(" ", "") if n in ends and n >= 15 else ""
+                if plain and mod97(plain[4:] + plain[:4]) == 1:
+                    at = ends[n]
+                    out.append((a, at))
+                    break
+        return out
+
+    @staticmethod
+    def _cards(run: str) -> list[tuple[int, int]]:
+        """Valid values in groups of digits: from a run's start or behind a value as long as can be, elsewhere in a card's groups."""
+        groups, out, at, fresh = [m.span() for m in re.finditer("[0-9]+", run)], [], 0, True
+        for i, (a, _) in enumerate(groups):
+            if a < at:
+                continue
+            size, sizes, ends = 0, [], []
+            for x, b in groups[i:]:
+                size += b - x
+                if size > 19:
+                    break
+                sizes.append(str(b - x))
+                if size >= 13 and (fresh or CARD_GROUPS.fullmatch(" ".join(sizes))):
+                    ends.append(b)
+            fresh = False
+            for b in reversed(ends):
+                digits = "".join(filter(str.isdigit, run[a:b]))
+                if int(digits[-1]) == luhn(digits[:-1]) and len(set(digits)) > 1:
+                    out.append((a, b))
+                    at, fresh = b, True
+                    break
+        return out
+
+    def _run(self, kind: str, run: str) -> list[tuple[int, int, str]]:
+        """(start, end, pseudonym) of a run's values; pseudonyms walk on until the run is read as before, so that the way back finds them."""
+        parse = self._ibans if kind == "iban" else self._cards
+        spans = parse(run)
+        for a, b in reversed(spans) if self.invert else spans:
+            while True:
+                run = run[:a] + (self.replace[kind](run[a:b]) or run[a:b]) + run[b:]
+                if parse(run) == spans:
+                    break
+        return [(a, b, run[a:b]) for a, b in spans]
+
     def ipv4(self, text: str) -> str | None:
         parts = text.split(".")
         if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
@@ -206,6 +271,15 @@ class Pseudonyms:
             if not ("@" in text if kind == "email" else has_digit):
                 continue
             for m in self.PATTERNS[kind].finditer(text):
+                if kind in ("iban", "card"):
+                    if m.end() - m.start() < 13:
+                        continue
+                    run = m[0]
+                    if kind == "card" and re.match("[./][0-9]", text[m.end() : m.end() + 2]):
+                        run = re.sub("[ -][0-9]{1,2}$", "", run)  # a date's start or an expiry
+                    found = [(m.start() + a, m.start() + b, kind, new) for a, b, new in self._run(kind, run)]
+                    out += [x for x in found if not any(a < x[1] and x[0] < b for a, b, _, _ in out)]
+                    continue
                 if any(a < m.end() and m.start() < b for a, b, _, _ in out):
                     continue
                 new = self.replace[kind](m[0])
