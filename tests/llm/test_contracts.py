@@ -175,6 +175,16 @@ def test_decontamination(docs, spark, sf, block, monkeypatch):
     same(decontaminate.contamination(docs, benchmark), docs, lambda t: contamination(t, items), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@pytest.mark.parametrize("block", [None, 60])
+def test_decontamination_by_repeated_items(spark, block, monkeypatch):
+    if block:
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    items = [(7, PASSAGE), (7, PASSAGE), (None, "delta epsilon"), (None, "mu nu xi"), (8, PASSAGE)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(spark.createDataFrame([(0, PASSAGE), (1, "delta epsilon")], "doc_id long, text string"), benchmark)
+    assert rows(got, "doc_id", "n_items", "items_sha256") == [(0, 3, sha(",7,8")), (1, 1, sha(""))]
+
+
 def test_decontamination_leaks(spark, sf):
     docs, benchmark = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in benchmark.collect()]

@@ -269,7 +269,7 @@ def _find(docs: DataFrame, phrases: Phrases, extra: tuple[str, ...]) -> DataFram
 
         def finish():
             n_words, n_hit, items, spans = shard.result()
-            found = pa.array([sorted(phrases.names[i] for i in items.get(d, ())) for d in range(shard.docs)], pa.list_(pa.string()))
+            found = pa.array([sorted({phrases.names[i] for i in items.get(d, ())}) for d in range(shard.docs)], pa.list_(pa.string()))
             ranges = pa.array([[{"start": a, "end": b} for a, b in spans.get(d, ())] for d in range(shard.docs)], span_type)
             at = 0
             for kept in held:
