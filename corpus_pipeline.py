@@ -61,7 +61,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking secrets are masked; widely copied examples stay."""
     rows = _keyed(docs)
-    found = secrets.secrets(_by_row(rows)).where("n_live > 0").select("doc_id", F.filter("marks", lambda m: m.live).alias("marks"))
+    found = secrets.secrets(_by_row(rows), widely=True).where("n_live > 0").select("doc_id", F.filter("marks", lambda m: m.live).alias("marks"))
     hit = staged(found, "live-secrets")
     mask = F.udf(lambda text, marks: secrets.mask(text, [(m.start, m.end) for m in marks]), "string")
     clean = _decided(rows, hit, "left_anti").select(*COLUMNS)

@@ -6,7 +6,7 @@ import corpus_pipeline as pipeline
 import pytest
 from brute import SPACED, contamination, lower, quality
 
-from tidemark.llm import jaccard
+from tidemark.llm import jaccard, secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -87,3 +87,19 @@ def test_stages_decide_by_row(spark, tmp_path):
     texts = [prose(70)] * 3 + [prose(70), prose(70)]
     got = pipeline.near_duplicates(spark, table(spark, [(i, t, "s") for i, t in zip(ids, texts, strict=True)]), str(tmp_path)).collect()
     assert key(got) == expect([(1, texts[0]), (None, texts[3]), (2, texts[4])])
+
+
+def test_only_widely_spread_secrets_stay(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "COPIED_TEXTS", 30)
+    rows = [(i, f"text {i} password=two45678", f"s{i % 2}") for i in range(9)]  # few owners: live
+    rows += [(20 + i, "token=equal999 in equal texts", f"s{i}") for i in range(12)]  # one text: live
+    rows += [(40 + i, f"text {i} secret=Zx9Kq2Lm4Np6Rs8Tv0Wy1", f"s{i % 3}") for i in range(3)]
+    rows += [(50 + i, f"text {i} password=everywhere", f"s{i % 6}") for i in range(12)]  # an example
+    rows += [(70 + i, f"text {i} password=hotsource", "s0") for i in range(30)]  # copied very often in one source
+    got = {x.doc_id: x.text for x in pipeline.secret_scan(spark, table(spark, rows), "").collect()}
+    assert len(got) == len(rows)
+    for i, text, _ in rows:
+        assert (got[i] == text) == (i >= 50)
+        assert i >= 50 or "[secret]" in got[i]
+    spread = secrets.secrets(table(spark, [(0, "see Zx9Kq2Lm4Np6Rs8Tv0Wy1", "a"), (1, "or Zx9Kq2Lm4Np6Rs8Tv0Wy1", "b")]), widely=True)
+    assert [x.n_live for x in spread.collect()] == [1, 1]  # kind `owned`

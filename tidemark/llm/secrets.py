@@ -3,7 +3,8 @@
 Candidates are found in whole texts; their values' hashes are counted by distinct repositories and
 owners. A value of one owner only looks live, one that many owners hold is a copied example. Besides the
 three base kinds, mixed-class random-looking tokens are candidates of kind `owned`; they are reported
-only where their value has a single owner.
+only where their value looks live. With widely=True an example must be spread widely, equal texts counted once: over
+EXAMPLE_OWNERS owners, EXAMPLE_REPOSITORIES repositories and EXAMPLE_TEXTS texts, or over COPIED_TEXTS texts anywhere.
 
 Null and empty texts have no spans. A null owner or repository counts as one unnamed one. Rows with the
 same doc_id are scanned apart. Offsets are code points, ends exclusive.
@@ -31,6 +32,10 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Values that more owners hold are examples.
 MAX_OWNERS = 1
+#: What an example is spread over at least, if it must be spread widely.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, EXAMPLE_TEXTS = 4, 6, 10
+#: Different texts that make a value an example even of one owner.
+COPIED_TEXTS = 1000
 #: Distinct characters that a token of kind `owned` has at least.
 MIN_DISTINCT = 12
 
@@ -59,9 +64,9 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
     """One row per document: base counts and digest, owner, repository, and all candidates with value hashes."""
     c.small_batches(docs.sparkSession)
     repo = F.concat_ws("/", *(F.coalesce(F.col(x).cast("string"), F.lit("")) for x in repository))
-    rows = docs.select("doc_id", "text", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), repo.alias("repository"))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:int,kind:int,end:int,value:long>>"
-    names = ["doc_id", "owner", "repository", "n_assign", "n_access", "n_hex", "base_sha256", "found"]
+    rows = docs.select("doc_id", "text", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), repo.alias("repository"), F.xxhash64("text").alias("same"))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, owner string, repository string, same long, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:int,kind:int,end:int,value:long>>"
+    names = ["doc_id", "owner", "repository", "same", "n_assign", "n_access", "n_hex", "base_sha256", "found"]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.int64())]))
     nothing = hashlib.sha256(b"").hexdigest()
 
@@ -86,7 +91,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
                     counts[k, i] += 1
                 digests[i] = hashlib.sha256(_joined(base).encode()).hexdigest()
                 found[i] = [{"start": a, "kind": k, "end": b, "value": xxhash.xxh3_64_intdigest(v) - (1 << 63)} for a, k, b, v in every]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *map(pa.array, counts), pa.array(digests, pa.string()), pa.array(found, kind)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), *map(pa.array, counts), pa.array(digests, pa.string()), pa.array(found, kind)], names=names)
 
     return rows.mapInArrow(run, schema)
 
@@ -98,16 +103,24 @@ def ownership(candidate_rows: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("places").alias("places"))
 
 
-def secrets(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS) -> DataFrame:
+def _examples(places: DataFrame) -> DataFrame:
+    """value and whether it is spread widely; equal texts count once, for their first owner and repository."""
+    once = places.groupBy("value", "same").agg(F.min(F.struct("owner", "repository")).alias("first")).select("value", "first.*")
+    spread = (F.col("owners") >= EXAMPLE_OWNERS) & (F.col("repositories") >= EXAMPLE_REPOSITORIES) & (F.col("places") >= EXAMPLE_TEXTS)
+    return ownership(once).select("value", (spread | (F.col("places") >= COPIED_TEXTS)).alias("example"))
+
+
+def secrets(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS, widely: bool = False) -> DataFrame:
     """Per document: counts, digest, spans (text) and marks, the reported spans with their verdicts."""
     scanned = c.staged(scan(docs, owner, repository).withColumn("row", F.monotonically_increasing_id()), "secrets")
-    places = scanned.select("row", "owner", "repository", F.explode("found").alias("f")).select("row", "owner", "repository", "f.*")
+    places = scanned.select("row", "owner", "repository", "same", F.explode("found").alias("f")).select("row", "owner", "repository", "same", "f.*")
     spread = ownership(places)
+    spread = spread.join(_examples(places), "value") if widely else spread.withColumn("example", F.col("owners") > max_owners)
     salts = 16  # of one value that very many documents hold
     dealt = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("places") > 10_000, salts - 1).otherwise(0)))).withColumn("hot", F.col("places") > 10_000)
     marked = places.withColumn("salt", F.explode(F.array(F.lit(0), F.pmod("row", F.lit(salts - 1)).cast("int") + 1))).join(dealt, ["value", "salt"])
     marked = marked.where((F.col("salt") == 0) & ~F.col("hot") | (F.col("salt") > 0) & F.col("hot"))
-    live = F.col("owners") <= max_owners
+    live = ~F.col("example")
     marked = marked.where((F.col("kind") < 3) | live).select("row", F.struct("start", "kind", "end", live.alias("live"), "owners", "repositories").alias("mark"))
     marks = marked.groupBy("row").agg(F.array_sort(F.collect_list("mark")).alias("marks"))
     names = F.array(*map(F.lit, KINDS))
