@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,23 +15,37 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 1 << 20
 
 
+#: Folders of local sessions that have no spark.checkpoint.dir, by application.
+_OWN: dict[str, str] = {}
+#: Deletes the shuffle files of a statement as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where the setting is absent."""
+    """spark.checkpoint.dir, which driver and executors share; a folder of its own only for a session on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _OWN.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tidemark-"))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table in the shared folder and read it back.
 
-    The files outlive lost executors, so nothing before this point is ever computed twice.
+    The files outlive lost executors, so nothing before this point is ever computed twice; the shuffle files
+    that led to it go at once.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,22 +94,32 @@ def chunks(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK_BYTES):
         first = last
 
 
+#: Two primes and a base for each of a polynomial hash; its slices have no structure that makes them collide.
+PRIMES = ((2147483647, 1299709 * 797), (2147483629, 1000003 * 1361))
+#: Values below 2**40 whose sum stays below 2**63.
+_SUMMED = 1 << 22
+
+
 class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, as long as the longest text so far."""
+    """Powers of each base and of its inverse modulo its prime, as long as the longest text so far."""
 
-    base = 0x9E3779B97F4A7C15
-    forward = np.ones(1, np.uint64)
-    inverse = np.ones(1, np.uint64)
+    forward = [np.ones(1, np.int64) for _ in PRIMES]
+    inverse = [np.ones(1, np.int64) for _ in PRIMES]
 
     @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.forward) <= n:
+    def upto(cls, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        if len(cls.forward[0]) <= n:
             size = max(n + 1, CHUNK_BYTES + 4096)
-            for name, base in (("forward", cls.base), ("inverse", pow(cls.base, -1, 1 << 64))):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(cls, name, np.cumprod(steps))
-        return cls.forward[:n], cls.inverse
+            for i, (p, base) in enumerate(PRIMES):
+                for table, b in ((cls.forward, base), (cls.inverse, pow(base, -1, p))):
+                    out, done = np.empty(size, np.int64), 1
+                    out[0] = 1
+                    while done < size:
+                        more = min(done, size - done)
+                        out[done : done + more] = out[:more] * pow(b, done, p) % p
+                        done += more
+                    table[i] = out
+        return cls.forward, cls.inverse
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,18 +131,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray) -> list[np.ndarray]:
     """Prefix values from which slice_hash gives the hash of any slice in constant time."""
     forward, _ = _Powers.upto(len(data))
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * forward, out=out[1:])
+    out = []
+    for (p, _), powers in zip(PRIMES, forward, strict=True):
+        total = np.zeros(len(data) + 1, np.int64)
+        for a in range(0, len(data), _SUMMED):
+            part = (data[a : a + _SUMMED].astype(np.int64) + 1) * powers[a : a + min(_SUMMED, len(data) - a)]
+            np.cumsum(part, out=total[a + 1 : a + 1 + len(part)])
+            if a:
+                total[a + 1 : a + 1 + len(part)] += total[a] % p
+        out.append(total)
     return out
 
 
-def slice_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def slice_hash(prefix: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the slices [start, end); equal slices have equal hashes anywhere."""
-    _, inverse = _Powers.upto(len(prefix))
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+    _, inverse = _Powers.upto(len(prefix[0]))
+    x, y = ((t[end] - t[start]) % p * inv[start] % p for (p, _), t, inv in zip(PRIMES, prefix, inverse, strict=True))
+    return mix((x.astype(np.uint64) << np.uint64(32) | y.astype(np.uint64)) + mix((end - start).astype(np.uint64)))
 
 
 def spans_of(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
