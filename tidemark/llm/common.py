@@ -167,6 +167,17 @@ def spans_of(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(member & ~before), np.flatnonzero(member & ~after) + 1
 
 
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """Minima of all stretches of this width, in two passes over blocks of it."""
+    n = len(x)
+    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    padded[:n] = x
+    rows = padded.reshape(-1, width)
+    forward = np.minimum.accumulate(rows, axis=1).ravel()
+    backward = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(backward[: n - width + 1], forward[width - 1 : n])
+
+
 def per_row(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many positions of each row are true."""
     total = np.zeros(len(mask) + 1, np.int64)

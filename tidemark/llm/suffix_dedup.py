@@ -47,7 +47,7 @@ class Samples:
         gram = min(GRAM, length)
         at = np.arange(len(raw) - gram + 1)
         hashes = c.slice_hash(self.prefix, at, at + gram)
-        least = _sliding_least((hashes & ~_PLACE) | at.astype(np.uint64), length - gram + 1)[:starts]
+        least = c.sliding_least((hashes & ~_PLACE) | at.astype(np.uint64), length - gram + 1)[:starts]
         self.sample_of = (least & _PLACE).astype(np.int64)  # by start
         self.samples = np.unique(self.sample_of)
         self.names = hashes[self.samples]
@@ -107,17 +107,6 @@ def _joined(ranges: np.ndarray) -> np.ndarray:
     return np.stack([ranges[new, 0], np.append(upto[new[1:] - 1], upto[-1])], 1)
 
 
-def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
-    """Minima of all stretches of this width, in two passes over blocks of it."""
-    n = len(x)
-    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = x
-    rows = padded.reshape(-1, width)
-    forward = np.minimum.accumulate(rows, axis=1).ravel()
-    backward = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(backward[: n - width + 1], forward[width - 1 : n])
-
-
 def _repeated(names: DataFrame) -> DataFrame:
     """rid and the places (array) whose name occurs at least twice. names: rid, place, name."""
     twice = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
