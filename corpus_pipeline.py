@@ -6,11 +6,14 @@ documents. n_chars follows the text where a stage edits it.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontaminate, jaccard, quality, secrets
+from tidemark.llm import byte_bpe, decontaminate, quality, secrets, simhash
 from tidemark.llm.common import documents, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -18,17 +21,30 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """The documents with a key of their own for each row, which repeated and null doc_ids aren't."""
-    return staged(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    return staged(docs.select(*COLUMNS).withColumn("rid", F.monotonically_increasing_id()), "rows")
 
 
 def _by_row(rows: DataFrame) -> DataFrame:
     """For operators: the rows' own keys as doc_id."""
-    return rows.withColumn("doc_id", F.col("row")).drop("row")
+    return rows.withColumn("doc_id", F.col("rid")).drop("rid")
 
 
 def _decided(rows: DataFrame, decisions: DataFrame, how: str = "inner") -> DataFrame:
     """Rows joined with an operator's decisions on _by_row of them."""
-    return rows.join(decisions.withColumnRenamed("doc_id", "row"), "row", how)
+    return rows.join(decisions.withColumnRenamed("doc_id", "rid"), "rid", how)
+
+
+def _edited(rows: DataFrame, places: str, edit: Callable[[str, list], str]) -> DataFrame:
+    """The documents with the given places edited, and their length after that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [edit(text, at) for text, at in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            lengths = [len(x) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2), batch.column(3), pa.array(lengths, pa.int64())], names=list(COLUMNS))
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema} | {"n_chars": "long"}
+    return rows.select(*COLUMNS, places).mapInArrow(run, ", ".join(f"{x} {kinds[x]}" for x in COLUMNS))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +58,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest doc_id (nulls last) of each group of near copies: five-word Jaccard of 0.8 or more, linked singly."""
     rows = _keyed(docs)
-    grouped = rows.select("row", "doc_id").join(jaccard.similar(rows), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("first.row")
-    return rows.join(first, "row", "left_semi").select(*COLUMNS)
+    grouped = rows.select("rid", "doc_id").join(simhash.similar(rows), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first")).select("first.rid")
+    return rows.join(first, "rid", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +68,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = _keyed(docs)
     found = decontaminate.contamination(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = staged(found.where("n_hit > 0").select("doc_id", "contaminated", "spans"), "leaks")
-    cut = F.udf(lambda text, spans: decontaminate.cut_spans(text, [(s.start, s.end) for s in spans]), "string")
     clean = _decided(rows, hit, "left_anti").select(*COLUMNS)
-    partly = _decided(rows, hit.where("not contaminated")).withColumn("text", cut("text", "spans")).withColumn("n_chars", F.char_length("text").cast("long"))
-    return clean.unionByName(partly.select(*COLUMNS))
+    partly = _decided(rows, hit.where("not contaminated"))
+    return clean.unionByName(_edited(partly, "spans", lambda text, spans: decontaminate.cut_spans(text, [(s["start"], s["end"]) for s in spans])))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +78,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _keyed(docs)
     found = secrets.secrets(_by_row(rows), widely=True).where("n_live > 0").select("doc_id", F.filter("marks", lambda m: m.live).alias("marks"))
     hit = staged(found, "live-secrets")
-    mask = F.udf(lambda text, marks: secrets.mask(text, [(m.start, m.end) for m in marks]), "string")
     clean = _decided(rows, hit, "left_anti").select(*COLUMNS)
-    masked = _decided(rows, hit).withColumn("text", mask("text", "marks")).withColumn("n_chars", F.char_length("text").cast("long"))
-    return clean.unionByName(masked.select(*COLUMNS))
+    return clean.unionByName(_edited(_decided(rows, hit), "marks", lambda text, marks: secrets.mask(text, [(m["start"], m["end"]) for m in marks])))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,10 +88,10 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality rules", quality_rules), ("jaccard near-dedup", near_duplicates), ("benchmark decontamination", decontamination), ("secret scans", secret_scan), ("byte-level bpe", tokenise),
+    ("quality rules", quality_rules), ("simhash near-dedup", near_duplicates), ("benchmark decontamination", decontamination), ("secret scans", secret_scan), ("byte-level bpe", tokenise),
 ]
 
-#: Likelihood ratios, Jaccard groups and BPE can't be said in SQL.
+#: Likelihood ratios, SimHash groups and BPE can't be said in SQL.
 ORACLE_SQL = None
 
 

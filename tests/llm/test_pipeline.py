@@ -6,7 +6,7 @@ import corpus_pipeline as pipeline
 import pytest
 from brute import SPACED, contamination, lower, quality
 
-from tidemark.llm import jaccard, secrets
+from tidemark.llm import secrets, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -36,7 +36,7 @@ def near_copies(r):
 
 @pytest.mark.parametrize("block", [256, 2])
 def test_near_duplicates_by_jaccard(spark, block, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     r = random.Random(3)
     texts = near_copies(r)
     ids = [r.choice([None, *range(40)]) for _ in texts]

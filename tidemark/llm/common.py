@@ -167,6 +167,15 @@ def spans_of(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(member & ~before), np.flatnonzero(member & ~after) + 1
 
 
+def slices(size: np.ndarray, most: int = 1 << 20):
+    """Runs of about `most` in sum."""
+    upto, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """Minima of all stretches of this width, in two passes over blocks of it."""
     n = len(x)

@@ -13,6 +13,29 @@ def _state(edges: DataFrame) -> tuple:
     return r.n, r.h
 
 
+def starred(edges: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Rows (x, block, y, text, *rest) of staged edges (x, y, *rest), and of each block first one of x itself, without y.
+
+    A text that many others are held against is sent once for about `size` of them, and no block is larger.
+    """
+    rest = edges.columns[2:]
+    n = edges.groupBy("x").agg(F.ceil(F.count("*") / size).cast("long").alias("blocks"))
+    others = edges.join(n, "x").withColumn("block", F.pmod(F.xxhash64("y"), "blocks")).join(texts.withColumnRenamed("rid", "y"), "y").select("x", "block", "y", "text", *rest)
+    own = n.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(texts.withColumnRenamed("rid", "x"), "x")
+    own = own.select("x", "block", F.lit(None).cast("long").alias("y"), "text", *(F.lit(None).cast(edges.schema[k].dataType).alias(k) for k in rest))
+    return others.unionByName(own).repartition("x", "block").sortWithinPartitions("x", "block", F.col("y").asc_nulls_first())
+
+
+def block_pairs(rows: DataFrame, key: str, size: int, held: list[str]) -> DataFrame:
+    """(key, left, right, same): all pairs of blocks of a key's rows (with rid), as arrays of structs of what is held."""
+    n = rows.groupBy(key).agg(F.ceil(F.count("*") / size).cast("long").alias("blocks"))
+    dealt = rows.join(n, key).withColumn("own", F.pmod(F.xxhash64("rid"), "blocks"))
+    blocks = staged(dealt.groupBy(key, "blocks", "own").agg(F.collect_list(F.struct(*held)).alias("rows")), "blocks")
+    left = blocks.select(key, F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("hi"), F.col("rows").alias("left"))
+    right = blocks.select(key, F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("lo"), F.col("own").alias("hi"), F.col("rows").alias("right"))
+    return left.join(right, [key, "lo", "hi"]).select(key, "left", "right", (F.col("lo") == F.col("hi")).alias("same"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of edges (a, b). Self-links are ignored.
 
