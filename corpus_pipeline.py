@@ -35,12 +35,12 @@ def _decided(rows: DataFrame, decisions: DataFrame, how: str = "inner") -> DataF
 
 
 def _edited(rows: DataFrame, places: str, edit: Callable[[str, list], str]) -> DataFrame:
-    """The documents with the given places edited, and their length after that."""
+    """The documents with the given places edited; n_chars follows where the text changes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [edit(text, at) for text, at in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            lengths = [len(x) for x in texts]
+            lengths = [n if new == old.as_py() else len(new) for new, old, n in zip(texts, batch.column(1), batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2), batch.column(3), pa.array(lengths, pa.int64())], names=list(COLUMNS))
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema} | {"n_chars": "long"}
@@ -50,9 +50,7 @@ def _edited(rows: DataFrame, places: str, edit: Callable[[str, list], str]) -> D
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the likelihood ratio keep."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = _keyed(docs)
-    kept = quality.judge(_by_row(rows), model).where("kept").select("doc_id")
-    return _decided(rows, kept, "left_semi").select(*COLUMNS)
+    return quality.judge(docs, model, COLUMNS[1:]).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,12 +63,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; benchmark passages in the others are cut out."""
-    rows = _keyed(docs)
-    found = decontaminate.contamination(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = staged(found.where("n_hit > 0").select("doc_id", "contaminated", "spans"), "leaks")
-    clean = _decided(rows, hit, "left_anti").select(*COLUMNS)
-    partly = _decided(rows, hit.where("not contaminated"))
-    return clean.unionByName(_edited(partly, "spans", lambda text, spans: decontaminate.cut_spans(text, [(s["start"], s["end"]) for s in spans])))
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), COLUMNS[1:])
+    return _edited(found.where("not contaminated"), "spans", lambda text, spans: decontaminate.cut_spans(text, [(s["start"], s["end"]) for s in spans]) if spans else text)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -299,3 +299,27 @@ def test_feistel_is_a_permutation():
         f = pii.Feistel(b"k", "t", size)
         out = [f.permute(x) for x in range(size)]
         assert sorted(out) == list(range(size)) and [f.invert(x) for x in out] == list(range(size))
+
+
+def test_lines_and_words_that_weak_hashes_confuse(spark):
+    """A Thue-Morse line and its complement collide in polynomial hashes modulo 2**64."""
+    line = "a"
+    while len(line) < 2048:
+        line += line.translate(str.maketrans("ab", "ba"))
+    other = line.translate(str.maketrans("ab", "ba"))
+    texts = [f"{line}\n{other}", f"{line}\n{line}", f"{line} {other} {line}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same(rules.judge(docs, rules.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))), docs, quality, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    items = [(0, line)]
+    got = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"))
+    same(got, docs, lambda t: contamination(t, items), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    empty = decontaminate.contamination(docs, spark.createDataFrame([], "item_id long, text string"))
+    assert {(r.n_hit, r.n_items, r.contaminated) for r in empty.collect()} == {(0, 0, False)}
+
+
+def test_extra_columns_go_through_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 30)
+    docs = spark.createDataFrame([(1, PASSAGE, "s", 5), (1, "x " + PASSAGE, "t", 6), (None, None, None, 7)], "doc_id long, text string, items string, n_words long")
+    benchmark = spark.createDataFrame([(i, PASSAGE) for i in range(4)], "item_id long, text string")
+    got = decontaminate.contamination(docs.withColumnRenamed("n_words", "n"), benchmark, ("n",))
+    assert rows(got, "doc_id", "n_words", "n_hit", "n_items", "n") == [(1, 15, 15, 4, 5), (1, 16, 15, 4, 6), (None, 0, 0, 0, 7)]

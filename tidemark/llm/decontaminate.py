@@ -236,25 +236,37 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
         yield block
 
 
+_SPANS = "array<struct<start:int,end:int>>"
+
+
 def find_windows(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (sorted ids) and spans (merged word ranges), and extra columns.
+    """Per document: doc_id, n_words, n_hit, items (distinct ids, sorted) and spans (merged word ranges), and extra columns.
 
-    With more items than one block holds, documents are read once a block and the spans merged after.
+    Blocks of items follow each other: each one's findings are staged with its input rows and merged with those so far, so
+    the driver holds one block at a time, and any number of blocks gives what one block would.
     """
     c.small_batches(docs.sparkSession)
-    parts = [_find(docs, Phrases(block, n), extra) for block in _blocks(benchmark)] or [_find(docs, Phrases([], n), extra)]
-    if len(parts) == 1:
-        return parts[0]
-    keyed = docs.select("doc_id", "text", *extra)
-    parts = [_find(keyed.withColumn("row_key", F.xxhash64("doc_id", "text")), Phrases(block, n), (*extra, "row_key")) for block in _blocks(benchmark)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    # equal rows have equal results: n_parts rows of each key per copy
-    merged = every.groupBy("doc_id", "row_key", *extra, "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"), (F.count("*") / len(parts)).cast("int").alias("copies"))
-    joined = F.aggregate("spans", F.expr("named_struct('end', -1, 'out', cast(array() as array<struct<start:int,end:int>>))"), lambda a, s: F.struct(F.greatest(a.end, s.end).alias("end"), F.when(s.start > a.end, F.concat(a.out, F.array(s))).otherwise(F.concat(F.slice(a.out, 1, F.size(a.out) - 1), F.array(F.struct(F.element_at(a.out, -1).start.alias("start"), F.greatest(a.end, s.end).alias("end"))))).alias("out")), lambda a: a.out)
-    merged = merged.withColumn("spans", joined).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.end - s.start))
-    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "n_words", "n_hit", "items", "spans", *extra)
+    blocks = _blocks(benchmark)
+    block, after = next(blocks, []), next(blocks, None)
+    out = _find(docs, Phrases(block, n), extra)
+    if after is None:
+        return out
+    # names that no extra column can have
+    keyed = docs.select("doc_id", "text", *(F.col(x).alias(f"_{i}_") for i, x in enumerate(extra))).withColumn("_row", F.monotonically_increasing_id())
+    keyed = c.staged(keyed, "documents")
+    found = _find(keyed, Phrases(block, n), ("_row",))
+    while after is not None:
+        more = _find(keyed, Phrases(after, n), ("_row",)).where("n_hit > 0").select("_row", F.col("items").alias("i"), F.col("spans").alias("s"))
+        both = c.staged(found.join(more, "_row", "left"), "windows")
+        joined = F.aggregate(
+            F.array_sort(F.concat("spans", F.coalesce("s", F.array().cast(_SPANS)))), F.array().cast(_SPANS),
+            lambda a, s: F.when((F.size(a) > 0) & (s.start <= F.element_at(a, -1).end), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.element_at(a, -1).start.alias("start"), F.greatest(F.element_at(a, -1).end, s.end).alias("end"))))).otherwise(F.concat(a, F.array(s))),
+        )
+        found = both.select("doc_id", "n_words", F.array_sort(F.array_union("items", F.coalesce("i", F.array().cast("array<string>")))).alias("items"), F.when(F.col("s").isNull(), F.col("spans")).otherwise(joined).alias("spans"), "_row")
+        after = next(blocks, None)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.end - s.start).alias("n_hit")
+    found = found.select("_row", "n_words", hit, "items", "spans")
+    return keyed.drop("text").join(found, "_row").select("doc_id", "n_words", "n_hit", "items", "spans", *(F.col(f"_{i}_").alias(x) for i, x in enumerate(extra)))
 
 
 def _find(docs: DataFrame, phrases: Phrases, extra: tuple[str, ...]) -> DataFrame:
@@ -287,15 +299,15 @@ def _find(docs: DataFrame, phrases: Phrases, extra: tuple[str, ...]) -> DataFram
         if held:
             yield from finish()
 
-    return docs.select(*dict.fromkeys(columns)).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The verdict on every document, with a digest of its items."""
-    found = find_windows(docs, benchmark)
+def contamination(docs: DataFrame, benchmark: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The verdict on every document, with a digest of its items; extra columns as they are."""
+    found = find_windows(docs, benchmark, extra=extra)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans",
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans", *extra,
     )
 
 

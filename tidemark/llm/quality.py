@@ -59,14 +59,14 @@ def base_counts(data: np.ndarray, offsets: np.ndarray):
     filled = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)  # a word starts in it
     line_start, line_end = line_start[filled], line_end[filled]
     row = np.searchsorted(offsets, line_start, "right") - 1
-    key = np.sort(c.mix(c.slice_hash(prefix, line_start, line_end) ^ c.mix(row.astype(np.uint64))))
+    own = c.mix(c.slice_hash(prefix, line_start, line_end) ^ c.mix(row.astype(np.uint64)))
+    key = np.sort(own)
     dup_lines = np.zeros(len(n_words), np.int64)
-    if len(key) and (key[1:] == key[:-1]).any():
-        own = c.mix(c.slice_hash(prefix, line_start, line_end) ^ c.mix(row.astype(np.uint64)))
-        _, first = np.unique(own, return_index=True)
-        again = np.ones(len(own), bool)
-        again[first] = False
-        dup_lines = np.bincount(row[again], minlength=len(n_words))
+    if len(key):
+        equal = key[1:][key[1:] == key[:-1]]
+        for r in np.unique(row[np.isin(own, equal)]).tolist():  # what the hashes suggest, the bytes decide
+            lines = [data[a:b].tobytes() for a, b in zip(line_start[row == r].tolist(), line_end[row == r].tolist(), strict=True)]
+            dup_lines[r] = len(lines) - len(set(lines))
 
     repeat = np.zeros(len(n_words), np.int64)
     if len(start) >= 3:
@@ -107,6 +107,11 @@ def labelled_ids(labels: DataFrame, limit: int = MAX_LABELLED) -> np.ndarray:
     return np.sort(np.array([r.doc_id for r in first.collect() if r.quality == 1], np.int64))
 
 
+def _trusted(ids: pa.Array, good: np.ndarray) -> np.ndarray:
+    """Which doc_ids are among the good ones; null is none of them."""
+    return np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), good) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Judge:
     """Count n-grams of all documents (raw) and of the labelled trusted ones (target) in one scan."""
     c.small_batches(docs.sparkSession)
@@ -115,8 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            trusted = np.isin(ids, good)
+            trusted = _trusted(batch.column(0), good)
             for a, b, data, offsets in c.chunks(*c.text_buffer(batch.column(1))):
                 start, end, at = _words(data, offsets)
                 buckets, row = ngram_buckets(c.prefix_sums(data), start, end, at)
@@ -134,21 +138,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trusted = np.isin(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), good)
-            column = batch.column(1).filter(pa.array(trusted))
-            for _, _, data, offsets in c.chunks(*c.text_buffer(column)):
+            trusted = _trusted(batch.column(0), good)
+            column, ids = (batch.column(i).filter(pa.array(trusted)) for i in (1, 0))
+            for a, b, data, offsets in c.chunks(*c.text_buffer(column)):
                 start, end, at = _words(data, offsets)
                 if len(start):
                     s = _scores(weights, (c.prefix_sums(data), start, end, at), len(offsets) - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(s[np.diff(at) > 0])], names=["score"])
+                    some = np.diff(at) > 0
+                    yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).filter(pa.array(some)), pa.array(s[some])], names=["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(score, "score double").collect()  # max_labelled rows, bar repeated ids
-    values = sorted(r.score for r in scored)
+    # rows with one doc_id count as one labelled document, by the lowest score: max_labelled rows at most
+    scored = docs.select("doc_id", "text").mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    values = sorted(r.score for r in scored.groupBy("doc_id").agg(F.min("score").alias("score")).collect())
     return Judge(weights, values[int(TRUSTED_LOSS * len(values))] if values else -np.inf)
 
 
-def judge(docs: DataFrame, model: Judge) -> DataFrame:
-    """One row per document: its counts, score and verdict."""
+def judge(docs: DataFrame, model: Judge, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: its counts, score and verdict, and extra columns (not named like these) as they are."""
     c.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +164,9 @@ def judge(docs: DataFrame, model: Judge) -> DataFrame:
                 score = _scores(model.weights, words, b - a)
                 failed = (n_words < 50) | (100 * repeat > 50 * n_words)
                 columns = [n_words, word_chars, symbols, dup_lines, repeat, failed, score, ~failed & (score >= model.threshold)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, columns)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, columns), *(batch.column(2 + i).slice(a, b - a) for i in range(len(extra)))], names=names)
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
-    names = [x.split()[0] for x in schema.split(", ")]
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    names = [*(x.split()[0] for x in schema.split(", ")), *extra]
+    schema += "".join(f", `{x}` {docs.schema[x].dataType.simpleString()}" for x in extra)
+    return docs.select("doc_id", "text", *extra).mapInArrow(run, schema)

@@ -46,7 +46,7 @@ WORDS, SIMILARITY, SAMPLES, SAMPLE = 5, 0.8, 8, 3
 #: Segments of a set's counts.
 SEGMENTS = 128
 #: Texts that are verified against one in one go; texts of a group that meet in a block.
-STAR, BLOCK = 64, 512
+STAR, BLOCK = 64, 256
 
 _LOWER = bytes(c.LOWER.tolist())
 
@@ -239,7 +239,7 @@ def _profiles(words: int):
                 sizes.append(len(t))
                 fps.append(majority(t) - (1 << 64) * (majority(t) >> 63) if len(t) else None)
                 parts.append(samples(t).view(np.int64) if len(t) else np.zeros(0, np.int64))
-                segments.append(np.bincount((t >> np.uint64(57)).astype(np.int64), minlength=SEGMENTS).astype(np.int32).tobytes())
+                segments.append(np.bincount((t >> np.uint64(57)).astype(np.int64), minlength=SEGMENTS).clip(max=32767).astype(np.int16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(segments, pa.binary())], names=["rid", "digest", "size", "fp", "samples", "segments"])
 
     return run
@@ -275,11 +275,11 @@ def _near(similarity: float, all_pairs: bool):
             for column in batch.columns[1:3]:
                 rows = column.flatten()
                 sides.append({k: rows.field(k).to_numpy() for k in ("rid", "size", "component")})
-                counts.append(np.frombuffer(b"".join(rows.field("segments").to_pylist()), np.int32).reshape(-1, SEGMENTS))
+                counts.append(np.frombuffer(b"".join(rows.field("segments").to_pylist()), np.int16).reshape(-1, SEGMENTS))
                 offsets.append(np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]))
             same, wide = batch.column(3).to_numpy(zero_copy_only=False), np.diff(offsets[1])
             of = np.repeat(np.arange(len(batch)), np.diff(offsets[0]))
-            for lo, hi in c.slices(wide[of], 1 << 16):
+            for lo, hi in c.slices(wide[of], 1 << 14):
                 size = wide[of[lo:hi]]
                 i = np.repeat(np.arange(lo, hi), size)
                 j = np.arange(len(i)) + np.repeat(offsets[1][of[lo:hi]] - np.cumsum(size) + size, size)
@@ -289,7 +289,7 @@ def _near(similarity: float, all_pairs: bool):
                 most = share * (sides[0]["size"][i] + sides[1]["size"][j]) + 1e-9
                 worth &= np.abs(sides[0]["size"][i] - sides[1]["size"][j]) <= most
                 i, j, most = i[worth], j[worth], most[worth]
-                far = np.abs(counts[0][i] - counts[1][j]).sum(axis=1)
+                far = np.abs(counts[0][i] - counts[1][j]).sum(axis=1, dtype=np.int64)
                 i, j, far = i[far <= most], j[far <= most], (far / most)[far <= most]
                 if not all_pairs and len(i):
                     best = []
@@ -344,4 +344,8 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
         if pairs.take(1):
             tried = tried.unionByName(pairs)
             linked = c.staged(linked.unionByName(verified(pairs)), "links")
-    return components(linked).withColumnRenamed("node", "rid")
+        c.unstage(rows)
+    out = c.staged(components(linked).withColumnRenamed("node", "rid"), "similar")
+    for done in (sets, copies, named, shared, texts, linked):
+        c.unstage(done)
+    return out
