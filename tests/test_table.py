@@ -12,6 +12,7 @@ from tidemark.functions.partition import Transform
 from tidemark.functions.predicate import Stats, col
 from tidemark.operators.overlap import overlap_groups
 from tidemark.sources.log import Log, Snapshot, conflict
+from tidemark.sources.reader import read_table, schema_at
 from tidemark.sources.schema import EvolveOptions, SchemaField
 from tidemark.sources.storage import Files
 from tidemark.sources.table import Table
@@ -242,3 +243,54 @@ def test_predicates(spark):
     assert got(col("x") > 5) == [10, 15] and got(~(col("x") > 5)) == [1, 5, None] and got(col("x").isin(1, 15)) == [1, 15]
     assert str((col("x") > 5) & ~col("s").isin("a", "b")) == "(x > 5) AND (NOT (s IN ('a', 'b')))"
     assert not (col("x") > 5).may_match({"x": Stats(None, None, 3, 3)}) and (col("x") >= 5).may_match({"x": Stats(1, 5, 0, 3)})
+
+
+def test_blanks_slashes_and_colons_in_values_and_paths(spark, tmp_path):
+    t = Table.create(spark, f"{tmp_path}/a folder/q 100%25", partition_by=("k",))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(("a b", "x/y", "a:b", "c", "ü%", None, "a b"))], "i int, k string")
+    t.append(df)
+    assert sorted(r.i for r in t.to_df().collect()) == list(range(7))
+    assert t.delete(col("k") == "a b").rows_matched == 2
+    assert t.update(col("i") == 1, {"k": "z z"}).rows_matched == 1
+    assert t.merge(df.where("i = 2").withColumn("k", F.lit("m/n")), "i").rows_matched == 1
+    assert sorted((r.i, r.k) for r in t.to_df().where("k is not null").collect()) == [(1, "z z"), (2, "m/n"), (3, "c"), (4, "ü%")]
+
+
+def test_vacuum_leaves_what_may_yet_be_committed(spark, tmp_path):
+    t = Table.create(spark, f"{tmp_path}/t")
+    t.append(spark.range(3))
+    now = t.snapshot()
+    added = t._write(now, spark.range(3, 5).toDF("id"), now.chain.current)
+    assert t.vacuum() == 0
+    t.log.commit(now, "append", [{"add": m} for m in added])
+    assert t.to_df().count() == 5
+    t._write(now, spark.range(9).toDF("id"), now.chain.current)
+    assert t.vacuum(older_than_hours=0) == 1 and t.to_df().count() == 5
+
+
+def test_merge_by_transaction(spark, tmp_path):
+    t = Table.create(spark, f"{tmp_path}/t")
+    t.append(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"))
+    rows = spark.createDataFrame([(1, "x"), (1, "y"), (None, "n"), (3, "z")], "k int, v string")
+    for _ in range(3):
+        t.merge(rows, "k", txn=("app", 7))
+    got = sorted(((r.k or 0, r.v) for r in t.to_df().collect()))
+    assert got == [(0, "n"), (1, "x"), (1, "y"), (2, "b"), (3, "z")]
+    assert t.merge(spark.createDataFrame([(50, "q")], "k int, v string"), "k", when_not_matched=None).files_untouched == len(t.live_files())
+
+
+def test_claims_through_hadoop(spark, tmp_path):
+    files = Files(spark, f"file:{tmp_path}/claims")
+    files.local = None
+    assert files.put_if_absent("_log/0", b"one") and not files.put_if_absent("_log/0", b"two")
+    assert files.read("_log/0") == b"one" and files.list("_log") == ["0"]
+
+
+def test_read_table(spark, tmp_path):
+    spark.range(5).write.parquet(f"{tmp_path}/f.parquet")
+    t = Table.create(spark, f"{tmp_path}/t")
+    t.append(spark.range(4))
+    t.append(spark.range(4, 6))
+    assert read_table(spark, f"{tmp_path}/f.parquet", ["id"], col("id") > 2).count() == 2
+    assert read_table(spark, f"{tmp_path}/t", None, col("id") > 2).count() == 3 and read_table(spark, f"{tmp_path}/t", version=1).count() == 4
+    assert schema_at(spark, f"{tmp_path}/t").names == schema_at(spark, f"{tmp_path}/f.parquet").names == ["id"]

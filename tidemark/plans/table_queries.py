@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +11,11 @@ from tidemark.operators.overlap import overlap_groups
 from tidemark.plans.registry import Registry, read
 from tidemark.sources import formats
 from tidemark.sources.catalog import Catalog
+from tidemark.sources.reader import read_table
 from tidemark.sources.storage import scratch
 from tidemark.sources.table import Table
 from tidemark.sources.writer import TableWriter, write_table
-from tidemark.streaming.sink import stream_to
+from tidemark.streaming.sink import batch_writer, stream_to
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
@@ -321,6 +320,30 @@ def stream_foreach_batch(spark, sf_dir):
     return t.to_df()
 
 
+@R.add("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority")
+def part_identity_text(spark, sf_dir):
+    """Partition values with blanks, in a folder with a blank, read back after a delete that hits no row and one that is undone."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    t = Table.create(spark, f"{scratch(spark, 'priorities')}/by priority", partition_by=("o_orderpriority",))
+    t.append(o)
+    gone = t.delete(col("o_orderpriority") == "4-NOT SPECIFIED")
+    t.append(o.where("o_orderpriority = '4-NOT SPECIFIED'") if gone.rows_matched else o.limit(0))
+    return read_table(spark, t.path).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@R.add("SELECT * FROM (SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id) AS t UNION ALL SELECT CAST(NULL AS BIGINT), CAST(-1 AS BIGINT)")
+def stream_upsert(spark, sf_dir):
+    """The last event of each user, by upserts; each batch is sent three times, with a NULL key in one of them."""
+    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    t = table_of(e.withColumn("event_id", F.lit(0).cast("long")).where("user_id % 2 = 0"), "upserts")
+    write = batch_writer(t, "upserts", "user_id")
+    null = spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id"))
+    for number, batch in enumerate((e.where("user_id % 3 = 0").unionByName(null), e.where("user_id % 3 <> 0"))):
+        for _ in range(3):
+            write(batch, number)
+    return t.to_df()
+
+
 @R.add("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def catalog_view(spark, sf_dir):
     c = Catalog(spark, scratch(spark, "catalog"))
@@ -363,4 +386,3 @@ def merge_files(spark, sf_dir):
     return formats.load(spark, f"{folder}/all.parquet")
 
 
-EPOCH = datetime.datetime(1970, 1, 1)

@@ -10,22 +10,24 @@ from __future__ import annotations
 import base64
 import datetime
 import decimal
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.errors import MergeError, SchemaError, TableExists, TableMissing, VersionMissing
+from tidemark.errors import MergeError, SchemaError, TableExists, TableMissing
 from tidemark.functions.partition import Transform, z_order
 from tidemark.functions.predicate import ALWAYS, Predicate, Stats
 from tidemark.operators.overlap import overlap_groups
 from tidemark.sources.log import Log, Snapshot
 from tidemark.sources.schema import EvolveOptions, SchemaField, TableSchema
-from tidemark.sources.storage import Files
+from tidemark.sources.storage import Files, scratch
 
 _ORDERED = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
 
@@ -52,6 +54,10 @@ def _load(v: Any) -> Any:
     return v
 
 
+#: How long files that no version names are kept: an append that hasn't committed yet may be about to.
+RETENTION_HOURS = 7 * 24
+
+
 @dataclass(frozen=True)
 class Changed:
     """What a mutation did."""
@@ -242,7 +248,7 @@ class Table:
         out = []
         for r in written.groupBy(F.col("_metadata.file_path").alias("path")).agg(*aggregates).collect():  # a row a file
             stats = {str(f.field_id): {"nulls": r[f"n{f.field_id}"]} | ({"low": _store(r[f"l{f.field_id}"]), "high": _store(r[f"h{f.field_id}"])} if isinstance(kind, _ORDERED) else {}) for f, kind in kinds}
-            name = folder + r.path.split(folder, 1)[1]
+            name = folder + unquote(r.path).split(folder, 1)[1]  # the metadata column holds a URI
             out.append({"path": name, "rows": r.rows, "bytes": r.bytes, "schema_id": schema.schema_id, "spec_id": spec_id, "partition": [r[h] for h in hidden], "stats": stats})
         return sorted(out, key=lambda m: m["path"])
 
@@ -267,7 +273,7 @@ class Table:
         added = self._write(replace_chain(now, schema), df, schema, codec, max_rows)
         return self.log.commit(now, "append", [*more, *({"add": m} for m in added), *self._txn(txn)])
 
-    def overwrite(self, df: DataFrame, where: Predicate | None = None, txn: tuple[str, int] | None = None) -> Snapshot:
+    def overwrite(self, df: DataFrame, where: Predicate | None = None, txn: tuple[str, int] | None = None, codec: str = "zstd", max_rows: int = 0) -> Snapshot:
         """Replace all rows, or those that a predicate matches, in one commit; history stays readable."""
         now = self.snapshot()
         if txn and now.txns.get(txn[0], -1) >= txn[1]:
@@ -277,7 +283,7 @@ class Table:
             actions = [{"remove": {"path": p}} for p in now.files]
         else:
             actions, _ = self._rewrite(now, where, _drop)
-        added = self._write(replace_chain(now, schema), df, schema)
+        added = self._write(replace_chain(now, schema), df, schema, codec, max_rows)
         return self.log.commit(now, "overwrite", [*more, *actions, *({"add": m} for m in added), *self._txn(txn), {"scan": True}])
 
     def truncate(self) -> Snapshot:
@@ -290,9 +296,14 @@ class Table:
         if missing := where.columns() - {f.name for f in target.fields}:
             raise SchemaError(f"unknown columns: {sorted(missing)}")
         rows = self._read(now, self._kept_files(now, target, where), target, True).where(where.column())
-        counts = {r["_file"].split(self.path.split(":", 1)[-1].rstrip("/") + "/", 1)[-1]: r["n"] for r in rows.groupBy("_file").agg(F.count("*").alias("n")).collect()}
+        counts = self._by_file(rows)
         return [now.files[p] for p in counts], counts
 
+    def _by_file(self, rows: DataFrame) -> dict[str, int]:
+        """How many rows there are of each file (_file), by the name that the log has; a row a file reaches the driver."""
+        root = self.path.split(":", 1)[-1].rstrip("/") + "/"
+        return {unquote(r["_file"]).split(root, 1)[-1]: r["n"] for r in rows.groupBy("_file").agg(F.count("*").alias("n")).collect()}
+
     def _rewrite(self, now: Snapshot, where: Predicate, change) -> tuple[list[dict], Changed]:
         """Actions that replace the files with matching rows; whole files go without being read again."""
         files, counts = self._touched(now, where)
@@ -333,52 +344,71 @@ class Table:
             return changed
         return replace(changed, version=self.log.commit(now, "update", [*actions, {"scan": True}, {"predicate": str(where)}]).version)
 
-    def merge(self, source: DataFrame, on: str, when_matched: str | None = "update", columns: list[str] | None = None, when_not_matched: str | None = "insert", order_by: list[str] | None = None, strict: bool = False) -> Changed:
+    def merge(self, source: DataFrame, on: str, when_matched: str | None = "update", columns: list[str] | None = None, when_not_matched: str | None = "insert", order_by: list[str] | None = None, strict: bool = False, txn: tuple[str, int] | None = None) -> Changed:
         """Join rows of source by a key: matched target rows are updated (all or some columns), deleted or left.
 
         Of source rows with one key the first (by order_by, else by all columns) updates; the later ones
         count as unmatched if insertion is asked for, as do rows with a NULL key. strict=True refuses
-        such repeated keys. One commit; nothing is committed if nothing changes.
+        such repeated keys. One commit; nothing is committed if nothing changes. The source is evaluated once,
+        and only files whose statistics allow one of its keys are read. txn as in append().
         """
         now = self.snapshot()
+        if txn and now.txns.get(txn[0], -1) >= txn[1]:
+            return Changed(files_untouched=len(now.files))
         schema = now.chain.current
         schema.field(on)
         if unknown := set(source.columns) - {f.name for f in schema.fields} - set(order_by or ()):
             raise SchemaError(f"unknown columns: {sorted(unknown)}")
-        first = Window.partitionBy(F.col(f"`{on}`")).orderBy(*(order_by or [f.name for f in source.schema if isinstance(f.dataType, _ORDERED)]))
+        for n in columns or ():
+            schema.field(n)
+        at = scratch(self.spark, "merge-source")
+        source.write.parquet(at)
+        try:
+            return self._merge(now, self.spark.read.schema(source.schema).parquet(at), on, when_matched, columns, when_not_matched, order_by, strict, txn)
+        finally:
+            Files(self.spark, at).delete("")
+
+    def _merge(self, now: Snapshot, source: DataFrame, on: str, when_matched: str | None, columns: list[str] | None, when_not_matched: str | None, order_by: list[str] | None, strict: bool, txn: tuple[str, int] | None) -> Changed:
+        schema, key = now.chain.current, F.col(f"`{on}`")
+        first = Window.partitionBy(key).orderBy(*(order_by or [f.name for f in source.schema if isinstance(f.dataType, _ORDERED)]))
         ranked = source.withColumn("_rank", F.row_number().over(first))
-        if strict and ranked.where(F.col(f"`{on}`").isNotNull() & (F.col("_rank") > 1)).take(1):
+        if strict and ranked.where(key.isNotNull() & (F.col("_rank") > 1)).take(1):
             raise MergeError(f"the source has a key of {on!r} more than once")
-        target = self._read(now, list(now.files.values()), schema, True)
-        key = F.col(f"`{on}`")
+        may = ALWAYS
+        if isinstance(source.schema[on].dataType, _ORDERED):
+            low, high = source.agg(F.min(key), F.max(key)).first()
+            if low is not None and low == low and high == high:
+                may = Predicate("between", on, (low, high))
+        kept = self._kept_files(now, schema, may)
+        target = self._read(now, kept, schema, True)
         keys = source.where(key.isNotNull()).select(key.alias(on)).distinct()
-        counts = {r["_file"].split(self.path.split(":", 1)[-1].rstrip("/") + "/", 1)[-1]: r["n"] for r in target.join(keys, on, "left_semi").groupBy("_file").agg(F.count("*").alias("n")).collect()}
+        counts = self._by_file(target.join(keys, on, "left_semi"))
         actions: list[dict] = []
         files = [now.files[p] for p in counts] if when_matched else []
         if files:
             rows = self._read(now, files, schema)
             if when_matched == "delete":
-                kept = rows.join(keys, on, "left_anti")
+                left = rows.join(keys, on, "left_anti")
             else:
                 names = columns or [f.name for f in schema.fields if f.name != on]
-                for n in names:
-                    schema.field(n)
                 new = ranked.where((F.col("_rank") == 1) & key.isNotNull()).select(key.alias(on), F.lit(True).alias("_hit"), *(F.col(f"`{n}`").alias(f"_new_{n}") for n in names))
                 joined = rows.join(new, on, "left")
-                kept = joined.select(*(F.when(F.col("_hit"), F.col(f"`_new_{f.name}`").cast(f.spark().dataType)).otherwise(F.col(f"`{f.name}`")).alias(f.name) if f.name in names else F.col(f"`{f.name}`") for f in schema.fields))
+                left = joined.select(*(F.when(F.col("_hit"), F.col(f"`_new_{f.name}`").cast(f.spark().dataType)).otherwise(F.col(f"`{f.name}`")).alias(f.name) if f.name in names else F.col(f"`{f.name}`") for f in schema.fields))
             actions += [{"remove": {"path": m["path"]}} for m in files]
-            actions += [{"add": m} for m in self._write(now, kept, schema) if m["rows"]]
+            actions += [{"add": m} for m in self._write(now, left, schema) if m["rows"]]
         inserted = 0
         if when_not_matched == "insert":
-            old = target.where(key.isNotNull()).select(key.alias("_old")).distinct()
-            fresh = ranked.join(old, key.eqNullSafe(F.col("_old")), "left").where(F.col("_old").isNull() | (F.col("_rank") > 1))
+            fresh = ranked
+            if counts:  # only those files hold a key of the source
+                old = self._read(now, [now.files[p] for p in counts], schema).where(key.isNotNull()).select(key.alias("_old"))
+                fresh = ranked.where(F.col("_rank") == 1).join(old, key == F.col("_old"), "left_anti").unionByName(ranked.where(F.col("_rank") > 1))
             added = [m for m in self._write(now, fresh.select(*(F.col(f"`{f.name}`") for f in schema.fields if f.name in source.columns)), schema) if m["rows"]]
             inserted = sum(m["rows"] for m in added)
             actions += [{"add": m} for m in added]
         changed = Changed(sum(counts.values()), inserted, len(now.files) - len(files), len(files), 0)
         if not actions:
             return changed
-        return replace(changed, version=self.log.commit(now, "merge", [*actions, {"scan": True}]).version)
+        return replace(changed, version=self.log.commit(now, "merge", [*actions, *self._txn(txn), {"scan": True}]).version)
 
     # -- schema and layout -----------------------------------------------------------------------
 
@@ -462,10 +492,15 @@ class Table:
         self.log.commit(now, "compact", [*({"remove": {"path": m["path"]}} for m in small), *({"add": m} for m in added)])
         return {"files_read": len(small), "files_written": len(added)}
 
-    def vacuum(self) -> int:
-        """Delete data folders that no version names."""
+    def vacuum(self, older_than_hours: float = RETENTION_HOURS) -> int:
+        """Delete data folders that no version names and that were last written to so long ago.
+
+        Younger ones may belong to writes that have yet to commit; no write may take longer than this.
+        """
+        before = (time.time() - older_than_hours * 3600) * 1000
+        old = [d for d in self.log.files.list("data") if self.log.files.modified_ms(f"data/{d}") < before]
         named = {a["add"]["path"].split("/")[1] for e in self.log.history() for a in e["actions"] if "add" in a}
-        stray = [d for d in self.log.files.list("data") if d not in named]
+        stray = [d for d in old if d not in named]
         for d in stray:
             self.log.files.delete(f"data/{d}")
         return len(stray)
@@ -474,10 +509,6 @@ class Table:
         now = self.snapshot()
         return {"version": now.version, "rows": now.rows, "files": len(now.files), "bytes": sum(m["bytes"] for m in now.files.values()), "schema": [asdict(f) for f in now.chain.current.fields] if now.chain.schemas else [], "metadata": now.metadata}
 
-    def require_version(self, version: int) -> None:
-        if self.version < version:
-            raise VersionMissing(f"version {version}")
-
 
 def _drop(rows: DataFrame) -> DataFrame:
     return rows.limit(0)

@@ -50,7 +50,7 @@ class TableWriter:
     def __exit__(self, kind, *_) -> None:
         if kind is None and self.rows is not None and not self.skip:
             if self.mode == "overwrite":
-                self.committed = self.table.overwrite(self.rows, txn=self.txn)
+                self.committed = self.table.overwrite(self.rows, None, self.txn, self.codec, self.chunk_rows)
             else:
                 self.committed = self.table.append(self.rows, self.txn, self.codec, self.chunk_rows)
 

@@ -17,7 +17,7 @@ def batch_writer(table: Table, app_id: str, on: str | None = None) -> Callable[[
         if on is None or not table.snapshot().files:
             table.append(batch, (app_id, number))
         else:
-            table.merge(batch, on)  # an upsert of the same rows again changes nothing
+            table.merge(batch, on, txn=(app_id, number))
 
     return write
 
