@@ -64,7 +64,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; benchmark passages in the others are cut out."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), COLUMNS[1:])
-    return _edited(found.where("not contaminated"), "spans", lambda text, spans: decontaminate.cut_spans(text, [(s["start"], s["end"]) for s in spans]) if spans else text)
+    # staged, so that no task needs two Python workers at a time
+    found = staged(found.where("not contaminated").select(*COLUMNS, "spans"), "windows")
+    return _edited(found, "spans", lambda text, spans: decontaminate.cut_spans(text, [(s["start"], s["end"]) for s in spans]) if spans else text)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,15 +96,15 @@ def chunks(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK_BYTES):
 
 #: Two primes and a base for each of a polynomial hash; its slices have no structure that makes them collide.
 PRIMES = ((2147483647, 1299709 * 797), (2147483629, 1000003 * 1361))
-#: Values below 2**40 whose sum stays below 2**63.
-_SUMMED = 1 << 22
+#: Values that are summed at once; their sum stays below 2**63.
+_SUMMED = 1 << 18
 
 
 class _Powers:
     """Powers of each base and of its inverse modulo its prime, as long as the longest text so far."""
 
-    forward = [np.ones(1, np.int64) for _ in PRIMES]
-    inverse = [np.ones(1, np.int64) for _ in PRIMES]
+    forward = [np.ones(1, np.int32) for _ in PRIMES]
+    inverse = [np.ones(1, np.int32) for _ in PRIMES]
 
     @classmethod
     def upto(cls, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -118,7 +118,7 @@ class _Powers:
                         more = min(done, size - done)
                         out[done : done + more] = out[:more] * pow(b, done, p) % p
                         done += more
-                    table[i] = out
+                    table[i] = out.astype(np.int32)
         return cls.forward, cls.inverse
 
 
@@ -149,7 +149,7 @@ def prefix_sums(data: np.ndarray) -> list[np.ndarray]:
 def slice_hash(prefix: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the slices [start, end); equal slices have equal hashes anywhere."""
     _, inverse = _Powers.upto(len(prefix[0]))
-    x, y = ((t[end] - t[start]) % p * inv[start] % p for (p, _), t, inv in zip(PRIMES, prefix, inverse, strict=True))
+    x, y = ((t[end] - t[start]) % p * inv[start].astype(np.int64) % p for (p, _), t, inv in zip(PRIMES, prefix, inverse, strict=True))
     return mix((x.astype(np.uint64) << np.uint64(32) | y.astype(np.uint64)) + mix((end - start).astype(np.uint64)))
 
 
