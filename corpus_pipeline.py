@@ -58,7 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = _keyed(docs)
     grouped = rows.select("rid", "doc_id").join(simhash.similar(rows), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first")).select("first.rid")
-    return rows.join(first, "rid", "left_semi").select(*COLUMNS)
+    return rows.join(first.hint("merge"), "rid", "left_semi").select(*COLUMNS)  # never broadcast: it grows with the corpus
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

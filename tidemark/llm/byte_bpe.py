@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from tidemark.llm.common import small_batches
 
 #: Remembered units and pre-tokens per Python worker; they only save time, results don't depend on them.
-CACHE_UNITS = 400_000
-CACHE_PIECES = 600_000
+CACHE_UNITS = 150_000
+CACHE_PIECES = 200_000
 
 
 class PerfectHash:

@@ -16,12 +16,12 @@ def _state(edges: DataFrame) -> tuple:
 def starred(edges: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Rows (x, block, y, text, *rest) of staged edges (x, y, *rest), and of each block first one of x itself, without y.
 
-    A text that many others are held against is sent once for about `size` of them, and no block is larger.
+    A text that many others are held against is sent once for about `size` of them. Neither side is broadcast at any size, for both grow with the corpus.
     """
     rest = edges.columns[2:]
     n = edges.groupBy("x").agg(F.ceil(F.count("*") / size).cast("long").alias("blocks"))
-    others = edges.join(n, "x").withColumn("block", F.pmod(F.xxhash64("y"), "blocks")).join(texts.withColumnRenamed("rid", "y"), "y").select("x", "block", "y", "text", *rest)
-    own = n.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(texts.withColumnRenamed("rid", "x"), "x")
+    others = edges.join(n, "x").withColumn("block", F.pmod(F.xxhash64("y"), "blocks")).join(texts.withColumnRenamed("rid", "y").hint("merge"), "y").select("x", "block", "y", "text", *rest)
+    own = n.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(texts.withColumnRenamed("rid", "x").hint("merge"), "x")
     own = own.select("x", "block", F.lit(None).cast("long").alias("y"), "text", *(F.lit(None).cast(edges.schema[k].dataType).alias(k) for k in rest))
     return others.unionByName(own).repartition("x", "block").sortWithinPartitions("x", "block", F.col("y").asc_nulls_first())
 

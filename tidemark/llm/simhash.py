@@ -325,7 +325,7 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     named = reps.join(groups, "fp").select("rid", "name").unionByName(reps.select("rid", F.posexplode("samples").alias("k", "s")).select("rid", F.xxhash64("k", "s").alias("name")))
     named = c.staged(named, "names")
     shared = c.staged(named.join(named.groupBy("name").agg(F.count("*").alias("n"), F.min("rid").alias("head")).where("n > 1"), "name"), "groups")
-    texts = c.staged(docs.select("rid", "text").join(shared.select("rid").distinct(), "rid", "left_semi"), "texts")
+    texts = c.staged(docs.select("rid", "text").join(shared.select("rid").distinct().hint("merge"), "rid", "left_semi"), "texts")
     size = sets.select("rid", "size", "segments")
 
     def verified(pairs: DataFrame) -> DataFrame:
