@@ -323,3 +323,8 @@ def test_extra_columns_go_through_blocks(spark, monkeypatch):
     benchmark = spark.createDataFrame([(i, PASSAGE) for i in range(4)], "item_id long, text string")
     got = decontaminate.contamination(docs.withColumnRenamed("n_words", "n"), benchmark, ("n",))
     assert rows(got, "doc_id", "n_words", "n_hit", "n_items", "n") == [(1, 15, 15, 4, 5), (1, 16, 15, 4, 6), (None, 0, 0, 0, 7)]
+
+
+def test_licenses_fold_only_a_to_z(spark):
+    docs = spark.createDataFrame([(0, "cc by-nc"), (1, "CC BY-NC"), (2, "K cc by nc İ")], "doc_id long, text string")
+    same(licenses.scan(docs), docs, license_base, "n_words", "n_base", "first_word", "last_word", "base_labels")

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
 
+#: Only these are folded.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The least share of a notice's words in place for a label of the method's own.
 IN_PLACE = 0.5
@@ -91,7 +93,7 @@ def scan(docs: DataFrame, base: tuple[Template, ...] = BASE, notices: tuple[Temp
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
     every = (*base, *notices)
     vocabulary = list(dict.fromkeys(w for t in every for w in t.key.split()))
-    words = docs.select("doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)).alias("words"))
+    words = docs.select("doc_id", F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower()), F.lit(WORD), F.lit(0)).alias("words"))
     present = words.select("doc_id", "words", F.array_intersect("words", _strings(vocabulary)).alias("present"))
     candidate = F.lit(False)
     for t in every:
