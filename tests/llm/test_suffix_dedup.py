@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from brute import removed, sha
 
+from tidemark.llm import common as c
 from tidemark.llm import suffix_dedup
 
 
@@ -51,3 +53,20 @@ def test_other_lengths_and_empty(spark):
 def test_real_table(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
     check(spark, [r.text for r in rows], 200)
+
+
+def test_samples_by_definition():
+    """Each start's sample is the least-hashed gram of its string; only what is asked for is computed."""
+    raw = np.frombuffer(bytes(random.Random(6).choices(b"abc ", k=700)) + b"ab" * 200, np.uint8)
+    one = suffix_dedup.Samples(raw, 200)
+    one.start_names(one.starts(np.array([[300, 2]])))
+    assert "sample_of" not in vars(one)
+    at = np.arange(len(raw) - 31)
+    hashes = c.slice_hash(one.prefix, at, at + 32)
+    assert (c.gram_hashes(one.prefix, 32) == hashes).all()
+    low = (hashes & ~suffix_dedup._PLACE) | at.astype(np.uint64)
+    want = [i + int(low[i : i + 169].argmin()) for i in range(len(raw) - 199)]
+    assert one.sample_of.tolist() == want and (one.names == hashes[one.samples]).all()
+    chosen = np.arange(0, len(one.samples), 2)
+    blocks = {(s, (s - i) // 32) for i, s in enumerate(want) if s in set(one.samples[chosen].tolist())}
+    assert sorted(map(tuple, one.blocks(chosen[::-1]).tolist())) == sorted(blocks)

@@ -23,6 +23,7 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,21 +39,39 @@ _PLACE = np.uint64((1 << 30) - 1)
 
 
 class Samples:
-    """The samples of one text and the starts that each stands for."""
+    """The samples of one text and the starts that each stands for; what is not asked for is not computed."""
 
     def __init__(self, raw: np.ndarray, length: int):
-        self.length, self.size, self.block = length, len(raw), max(1, min(BLOCK, length // 4))
-        self.prefix = c.prefix_sums(raw)
-        starts = len(raw) - length + 1
-        gram = min(GRAM, length)
-        at = np.arange(len(raw) - gram + 1)
-        hashes = c.slice_hash(self.prefix, at, at + gram)
-        least = c.sliding_least((hashes & ~_PLACE) | at.astype(np.uint64), length - gram + 1)[:starts]
-        self.sample_of = (least & _PLACE).astype(np.int64)  # by start
-        self.samples = np.unique(self.sample_of)
-        self.names = hashes[self.samples]
-        self.first = np.searchsorted(self.sample_of, self.samples)
-        self.last = np.searchsorted(self.sample_of, self.samples, "right") - 1
+        self.raw, self.length, self.size, self.block = raw, length, len(raw), max(1, min(BLOCK, length // 4))
+
+    @cached_property
+    def prefix(self) -> list[np.ndarray]:
+        return c.prefix_sums(self.raw)
+
+    @cached_property
+    def sample_of(self) -> np.ndarray:
+        """By start."""
+        gram = min(GRAM, self.length)
+        hashes = c.gram_hashes(self.prefix, gram)
+        least = c.sliding_least((hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64), self.length - gram + 1)[: self.size - self.length + 1]
+        return (least & _PLACE).astype(np.int64)
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        """The first start of each sample; samples rise with the starts."""
+        return np.flatnonzero(np.concatenate([[True], self.sample_of[1:] != self.sample_of[:-1]]))
+
+    @cached_property
+    def last(self) -> np.ndarray:
+        return np.append(self.first[1:], len(self.sample_of)) - 1
+
+    @cached_property
+    def samples(self) -> np.ndarray:
+        return self.sample_of[self.first]
+
+    @property
+    def names(self) -> np.ndarray:
+        return c.slice_hash(self.prefix, self.samples, self.samples + min(GRAM, self.length))
 
     def wide_names(self) -> np.ndarray:
         """Of the unions of all strings that each sample stands for."""
@@ -64,13 +83,11 @@ class Samples:
 
     def blocks(self, chosen: np.ndarray) -> np.ndarray:
         """(sample, block) pairs with a start whose sample is chosen."""
-        member = np.zeros(self.size, bool)
-        member[self.samples[chosen]] = True
-        start = np.flatnonzero(member[self.sample_of])
-        sample = self.sample_of[start]
-        key = sample * (self.length // self.block + 2) + (sample - start) // self.block
-        key = np.unique(key)
-        return np.stack([key // (self.length // self.block + 2), key % (self.length // self.block + 2)], 1)
+        chosen = np.sort(chosen)
+        sample = self.samples[chosen]
+        low, high = (sample - self.last[chosen]) // self.block, (sample - self.first[chosen]) // self.block
+        size = high - low + 1
+        return np.stack([np.repeat(sample, size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - low, size)], 1)
 
     def block_names(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Names of unions and of shared parts, and which blocks are whole (others lie over a text's end)."""
@@ -141,7 +158,8 @@ def _raw(x) -> np.ndarray:
 
 
 def _places(column: pa.Array) -> list[np.ndarray]:
-    return [np.array(x or [], np.int64) for x in column.to_pylist()]
+    """The lists of a column, empty where there is none."""
+    return np.split(column.flatten().to_numpy().astype(np.int64), np.cumsum(column.value_lengths().fill_null(0).to_numpy())[:-1])
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
