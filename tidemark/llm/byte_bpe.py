@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +92,8 @@ class Codec:
         self.byte_id = [ranks.get(bytes([b]), -1) for b in range(256)]
         #: For two ids (shifted together), the id of both joined.
         self.joined = {ranks[a] << 20 | ranks[b]: r for k, r in ranks.items() for i in range(1, len(k)) if (a := k[:i]) in ranks and (b := k[i:]) in ranks}
+        #: The same for two bytes, by their values.
+        self.pair = [self.joined.get(a << 20 | b, -1) for a in self.byte_id for b in self.byte_id]
         self.pattern = regex.compile(pattern)
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.units: dict[str, tuple[int, ...]] = {}
@@ -108,34 +110,35 @@ class Codec:
         The heap holds rank and place of each pair; the bytes are linked both ways, and a pair that has
         changed since it was pushed is known by its place's present rank.
         """
-        joined, n = self.joined.get, len(token)
-        ids = [self.byte_id[b] for b in token]
+        joined, n, pair = self.joined, len(token), self.pair
+        ids = list(map(self.byte_id.__getitem__, token))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        now = [joined(a << 20 | b, -1) for a, b in zip(ids, ids[1:])]
+        now = [pair[a << 8 | b] for a, b in zip(token, token[1:])]
         now.append(-1)
         heap = [r << 32 | i for i, r in enumerate(now) if r >= 0]
-        heapq.heapify(heap)
-        pop, push = heapq.heappop, heapq.heappush
+        heapify(heap)
         while heap:
-            top = pop(heap)
-            i, r = top & 0xFFFFFFFF, top >> 32
+            top = heappop(heap)
+            i = top & 0xFFFFFFFF
+            r = top >> 32
             if now[i] != r:
                 continue
             j = after[i]
             k = after[i] = after[j]
-            ids[i], now[j] = r, -1
+            ids[i] = r
+            now[j] = now[i] = -1
             if k < n:
                 before[k] = i
-                now[i] = x = joined(r << 20 | ids[k], -1)
-                if x >= 0:
-                    push(heap, x << 32 | i)
-            else:
-                now[i] = -1
+                if (x := r << 20 | ids[k]) in joined:
+                    now[i] = x = joined[x]
+                    heappush(heap, x << 32 | i)
             h = before[i]
             if h >= 0:
-                now[h] = x = joined(ids[h] << 20 | r, -1)
-                if x >= 0:
-                    push(heap, x << 32 | h)
+                if (x := ids[h] << 20 | r) in joined:
+                    now[h] = x = joined[x]
+                    heappush(heap, x << 32 | h)
+                else:
+                    now[h] = -1
         out, i = [], 0
         while i < n:
             out.append(ids[i])
