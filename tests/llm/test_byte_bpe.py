@@ -3,6 +3,9 @@
 import base64
 import random
 
+import public_tokenizers
+import pyarrow as pa
+
 from tidemark.llm import byte_bpe
 
 
@@ -44,3 +47,22 @@ def test_merge_by_definition(tmp_path):
     codec.joined = Counted(codec.joined)
     assert codec.merge(b"xaxbxcx" * 9) == plain(ranks, b"xaxbxcx" * 9)
     assert codec.joined.asked == 0  # pairs of bytes are known by their values
+
+
+def test_words_merged_at_once():
+    """Rows of a matrix get the ids that each gets alone, and what is learned is what a unit gives."""
+    r = random.Random(19)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    codec = byte_bpe.Codec(path, public_tokenizers.PATTERN)
+    word = lambda: "".join(r.choice(("th", "in", "er", "é", "a", "q", "ü", "on", "字", "s", "zz")) for _ in range(r.randint(1, 14)))
+    words = {word() for _ in range(3000)}
+    by_size = {}
+    for x in words:
+        by_size.setdefault(len(raw := (" " + x).encode()), []).append(raw)
+    for tokens in by_size.values():
+        assert codec.merge_all(tokens) == [tuple(codec.merge(x)) for x in tokens]
+    texts = [None, "", " ", *(" ".join(x + r.choice(("", "", ",", "...", "?!", "\n", " ", "3")) for x in r.sample(sorted(words), 40)) for _ in range(30))]
+    plain = byte_bpe.Codec(path, public_tokenizers.PATTERN)
+    assert list(codec.encoded(pa.array(texts))) == [plain.encode(x) for x in texts] and codec.units
+    for x, ids in list(codec.units.items()):
+        assert plain.unit(x) == ids

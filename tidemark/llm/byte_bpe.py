@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
 Two tiers: a minimal perfect hash over the vocabulary resolves pre-tokens that are whole vocabulary
-entries; the rest is merged by rank with a heap over a doubly linked list of bytes.
+entries; the rest is merged by rank, the new short words of some texts at once as rows of a matrix, anything
+else with a heap over a doubly linked list of bytes.
 
 A null or empty text gives no ids; text of any length is handled piecewise, so memory follows one text
 and not the table. Extra columns are left alone: output columns are appended under the names asked for.
@@ -26,6 +27,13 @@ from tidemark.llm.common import small_batches
 #: Remembered units and pre-tokens per Python worker; they only save time, results don't depend on them.
 CACHE_UNITS = 150_000
 CACHE_PIECES = 200_000
+#: Characters of text whose new words are merged at once, and bytes of the longest of these.
+TOGETHER = 1 << 20
+SHORT = 32
+
+
+#: The rank of a pair that is not in the vocabulary, in matrices.
+NONE = np.int32(np.iinfo(np.int32).max)
 
 
 class PerfectHash:
@@ -94,6 +102,11 @@ class Codec:
         self.joined = {ranks[a] << 20 | ranks[b]: r for k, r in ranks.items() for i in range(1, len(k)) if (a := k[:i]) in ranks and (b := k[i:]) in ranks}
         #: The same for two bytes, by their values.
         self.pair = [self.joined.get(a << 20 | b, -1) for a in self.byte_id for b in self.byte_id]
+        self.pairs = np.array(self.pair, np.int32)
+        self.pairs[self.pairs < 0] = NONE
+        keys = np.array(list(self.joined), np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranked = np.append(keys[order], np.iinfo(np.int64).max), np.append(np.array(list(self.joined.values()), np.int32)[order], NONE)
         self.pattern = regex.compile(pattern)
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.units: dict[str, tuple[int, ...]] = {}
@@ -145,6 +158,87 @@ class Codec:
             i = after[i]
         return out
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Of pairs of ids (-1: none), the rank of both joined."""
+        key = left.astype(np.int64) << 20 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranked[at], NONE)
+
+    def merge_all(self, tokens: list[bytes]) -> list[tuple[int, ...]]:
+        """What merge gives for each of some tokens of one length: all take their lowest-ranked, leftmost pair, again and again."""
+        n, width = len(tokens), len(tokens[0])
+        data = np.frombuffer(b"".join(tokens), np.uint8).reshape(n, width)
+        ids = np.array(self.byte_id, np.int32)[data]
+        now = np.full((n, width), NONE, np.int32)
+        now[:, :-1] = self.pairs[data[:, :-1].astype(np.int64) << 8 | data[:, 1:]]
+        out: list[tuple[int, ...]] = [()] * n
+        own, size = np.arange(n), width
+        while len(own):
+            at = now.argmin(axis=1)
+            rows = np.arange(len(own))
+            rank = now[rows, at]
+            if (done := rank == NONE).any():
+                for i, x in zip(own[done].tolist(), ids[done, :size].tolist(), strict=True):
+                    out[i] = tuple(x)
+                own, ids, now, at, rank = own[~done], ids[~done], now[~done], at[~done], rank[~done]
+                rows = np.arange(len(own))
+                if not len(own):
+                    break
+            size -= 1  # each row that is left has lost as many
+            ids[rows, at] = rank
+            later = np.arange(size) > at[:, None]
+            ids = np.where(later, ids[:, 1:], ids[:, :-1])
+            now = np.where(later, now[:, 1:], now[:, :-1])
+            before, after = np.maximum(at - 1, 0), np.minimum(at + 1, size - 1)
+            now[rows, at] = np.where(at + 1 < size, self._ranks(rank, ids[rows, after]), NONE)
+            some = rows[at > 0]
+            now[some, before[some]] = self._ranks(ids[some, before[some]], rank[some])
+        return out
+
+    def learn(self, texts: list[str | None]) -> None:
+        """Remember the units of words of letters that are new in some texts, as unit gives them."""
+        words: set[str] = set()
+        for x in texts:
+            if x:
+                words.update(x.split(" "))
+        new, by_size = words.difference(self.units), {}
+        if len(self.units) + len(new) > CACHE_UNITS:
+            self.units.clear()
+            new = words
+        if len(self.pieces) + len(new) > CACHE_PIECES:
+            self.pieces.clear()
+        if len(new) > min(CACHE_UNITS, CACHE_PIECES):
+            return
+        cores = [(x, " " + core) for x in new if (core := x.rstrip(".,;:!?")).isalpha()]
+        for x in {core for _, core in cores}.difference(self.pieces):
+            raw = x.encode()
+            if (at := self.whole.find(raw)) >= 0:
+                self.pieces[x] = (self.id_of[at],)
+            elif len(raw) <= SHORT:
+                by_size.setdefault(len(raw), []).append((x, raw))
+        for pairs in by_size.values():
+            names, raws = zip(*pairs, strict=True)
+            self.pieces.update(zip(names, self.merge_all(raws), strict=True))
+        get, piece, units = self.pieces.get, self.piece, self.units
+        for x, core in cores:
+            out = get(core) or piece(core)
+            if len(x) >= len(core):
+                tail = x[len(core) - 1 :]
+                out += get(tail) or piece(tail)
+            units[x] = out
+
+    def encoded(self, column: pa.Array) -> Iterator[list[int]]:
+        """The ids of each text of a column."""
+        held: list[str | None] = []
+        size = 0
+        for i, x in enumerate(column, 1):
+            held.append(x.as_py())
+            size += len(held[-1] or "")
+            if size >= TOGETHER or i == len(column):
+                self.learn(held)
+                yield from map(self.encode, held)
+                held, size = [], 0
+
     def piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one pre-token."""
         raw = piece.encode()
@@ -215,7 +309,7 @@ def encode_column(df: DataFrame, path: str, pattern: str, text: str = "text", ou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.open(path, pattern)
         for batch in batches:
-            ids = pa.array([np.array(codec.encode(x), np.int32) for x in batch.column(text).to_pylist()], pa.list_(pa.int32()))
+            ids = pa.array([np.array(x, np.int32) for x in codec.encoded(batch.column(text))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema if f.name != out), ids], names=schema.names)
 
     return df.mapInArrow(run, schema)
@@ -232,8 +326,7 @@ def token_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", t
         codec, sha = Codec.open(path, pattern), hashlib.sha256
         for batch in batches:
             counts, digests, decoded, kept = [], [], [], []
-            for x in batch.column(text):
-                ids = codec.encode(x.as_py())
+            for ids in codec.encoded(batch.column(text)):
                 counts.append(len(ids))
                 digests.append(sha(codec.decimal_ids(ids).encode()).hexdigest())
                 decoded.append(sha(codec.decode(ids)).hexdigest())
