@@ -1,5 +1,6 @@
 """Types, encoding analytics, formats, catalog, blobs and the command line."""
 
+import duckdb
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -9,6 +10,7 @@ from tidemark import cli
 from tidemark.errors import FormatError, SchemaError, TableExists
 from tidemark.functions import blobs, encoding
 from tidemark.functions.types import can_promote, carrier, dtype_of
+from tidemark.plans import column_queries
 from tidemark.sources import formats
 from tidemark.sources.catalog import Catalog
 from tidemark.sources.table import Table
@@ -55,6 +57,17 @@ def test_adaptive_segments(spark):
     assert got == [(0, 0, 1024, "rle"), (1, 1024, 2048, "delta")]
 
 
+def test_nested_bases_of_floats(spark, tmp_path):
+    """0.058 * 1000 is 58 as a float and 57.99... as a double; NULLs and empty lists are as in the SQL."""
+    rows = [(k, x) for k, x in enumerate([[0.058, 0.5, 0.003], [0.5, 0.058], [], None, [1.0, None, 5.0], [None, 3.0], [-0.058]])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(column_queries.ORACLE_SQL["nested_bases_deltas"]).fetchall()
+    got = column_queries.QUERIES["nested_bases_deltas"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and want[0][1] == 58
+
+
 @pytest.mark.parametrize("extension", ["csv", "tsv", "ndjson", "jsonl", "json", "parquet", "arrow", "feather", "orc", "xlsx"])
 def test_formats(spark, tmp_path, extension):
     df = spark.range(6).select("id", (F.col("id") * 1.25 + 0.5).alias("revenue"), F.when(F.col("id") % 2 == 0, "no,rth\t<&\"").otherwise("south").alias("region"), (F.col("id") % 3 != 0).alias("active"))

@@ -127,8 +127,11 @@ def nested_lengths(spark, sf_dir):
 
 @R.add("SELECT vec_id, x[1] AS base, list_sum(list_transform(x, lambda e: e - x[1]))::BIGINT AS total FROM (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(e * 1000) AS BIGINT)) AS x FROM embeddings) AS t")
 def nested_bases_deltas(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("long")).alias("x"))
-    return encoding.list_shape(e, "x").select("vec_id", "base", F.aggregate("offsets", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
+    """Floats are multiplied as floats, as in the SQL; a list without a first element has no base and no total."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * F.lit(1000).cast("float")).cast("long")).alias("x"))
+    first = F.try_element_at("x", F.lit(1))
+    total = F.aggregate(F.filter("offsets", lambda x: x.isNotNull()), F.lit(0).cast("long"), lambda a, b: a + b)
+    return encoding.list_shape(e, "x").select("vec_id", first.alias("base"), F.when(first.isNotNull(), total).alias("total"))
 
 
 @R.add("SELECT n_nationkey, 'a,m,z' AS keys FROM nation")
