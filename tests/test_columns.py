@@ -106,6 +106,31 @@ def test_blobs(spark):
     assert sorted(r.n for r in packed.collect()) == [2, 4, 4]
 
 
+def test_blobs_of_lists(spark):
+    """One blob a list, each readable by itself; many short lists take no call of the IPC writer each."""
+    lists = [[5], None, [], [1, None, 3], list(range(1000)), [-(1 << 63), (1 << 63) - 1], [7], list(range(64)), list(range(65)), [None]]
+    array = pa.array(lists, pa.list_(pa.int64()))
+    packed = blobs.pack_lists(array)
+    assert [None if b is None else blobs.unpack(b).to_pylist() for b in packed.to_pylist()] == lists
+    assert blobs.unpack_lists(packed).to_pylist() == lists and blobs.unpack_lists(blobs.pack_lists(array.slice(3, 4))).to_pylist() == lists[3:7]
+    assert blobs.unpack_lists(packed.slice(2, 5)).to_pylist() == lists[2:7] and blobs.unpack_lists(packed.slice(0, 0)).to_pylist() == []
+    older = pa.array([None if x is None else blobs.pack(pa.array(x, pa.int64())) for x in lists], pa.binary())
+    assert blobs.unpack_lists(older).to_pylist() == lists
+    assert blobs.unpack_lists(pa.array([blobs.pack(pa.array([1, 2], pa.int32()))])).to_pylist() == [[1, 2]]
+    blobs.register(spark)
+    df = spark.createDataFrame(list(enumerate(lists)), "k long, xs array<long>")
+    assert [r.ys for r in df.selectExpr("k", "unpack_longs(pack_longs(xs)) AS ys").orderBy("k").collect()] == lists
+    assert [r.b is None for r in df.selectExpr("k", "pack_longs(xs) AS b").orderBy("k").collect()] == [x is None for x in lists]
+
+
+def test_blobs_of_many_lists(monkeypatch):
+    calls = []
+    monkeypatch.setattr(blobs, "pack", lambda x: calls.append(x))
+    monkeypatch.setattr(blobs, "unpack", lambda x: calls.append(x))
+    many = pa.array([[k] * (k % 3) for k in range(20_000)], pa.list_(pa.int64()))
+    assert blobs.unpack_lists(blobs.pack_lists(many)).equals(many) and not calls
+
+
 def test_cli(spark, tmp_path, capsys):
     spark.range(4).write.json(str(tmp_path / "in.jsonl"))
     assert cli.main(["convert", str(tmp_path / "in.jsonl"), str(tmp_path / "out.parquet"), "--where", "id > 1"], spark) == 0
