@@ -294,3 +294,23 @@ def test_read_table(spark, tmp_path):
     assert read_table(spark, f"{tmp_path}/f.parquet", ["id"], col("id") > 2).count() == 2
     assert read_table(spark, f"{tmp_path}/t", None, col("id") > 2).count() == 3 and read_table(spark, f"{tmp_path}/t", version=1).count() == 4
     assert schema_at(spark, f"{tmp_path}/t").names == schema_at(spark, f"{tmp_path}/f.parquet").names == ["id"]
+
+
+@pytest.mark.parametrize("layout", [{}, {"partition_by": ("k",)}])
+def test_statistics_sort_no_rows(spark, tmp_path, monkeypatch, layout):
+    """Statistics of written files keep a row a file in memory, whatever the types of the columns."""
+    df = spark.range(50).selectExpr("id", "id % 2 AS k", "if(id % 3 = 0, NULL, concat('n', lpad(id, 2, '0'))) AS s", "CAST(id AS DECIMAL(20,1)) AS d", "id / 2 AS x")
+    df = df if layout == {} else df.select("id", "k")
+    plans, collect = [], type(df).collect
+
+    def seen(self):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return collect(self)
+
+    monkeypatch.setattr(type(df), "collect", seen)
+    t = Table.create(spark, str(tmp_path / "t"), **layout)
+    t.append(df.coalesce(1))
+    monkeypatch.undo()
+    assert plans and not [p for p in plans if "Sort" in p]
+    got = {(r.name, r.low, r.high, r.nulls) for r in t.inspect().where("name IN ('s', 'id')").collect()}
+    assert got == ({("id", "0", "49", 0), ("s", "n01", "n49", 17)} if layout == {} else {("id", "0", "48", 0), ("id", "1", "49", 0)})

@@ -245,6 +245,9 @@ class Table:
             if isinstance(kind, _ORDERED):
                 plain = F.when(~F.isnan(c), c) if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType) else c
                 aggregates += [F.min(plain).alias(f"l{f.field_id}"), F.max(c).alias(f"h{f.field_id}")]
+        if hidden or any(isinstance(kind, T.StringType) for _, kind in kinds):
+            # Spark hashes groups with values of varying length only if an aggregate is an object; else it sorts all rows by their file.
+            aggregates.append(F.collect_set(F.lit(0)).alias("_object"))
         out = []
         for r in written.groupBy(F.col("_metadata.file_path").alias("path")).agg(*aggregates).collect():  # a row a file
             stats = {str(f.field_id): {"nulls": r[f"n{f.field_id}"]} | ({"low": _store(r[f"l{f.field_id}"]), "high": _store(r[f"h{f.field_id}"])} if isinstance(kind, _ORDERED) else {}) for f, kind in kinds}
