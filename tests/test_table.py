@@ -314,3 +314,25 @@ def test_statistics_sort_no_rows(spark, tmp_path, monkeypatch, layout):
     assert plans and not [p for p in plans if "Sort" in p]
     got = {(r.name, r.low, r.high, r.nulls) for r in t.inspect().where("name IN ('s', 'id')").collect()}
     assert got == ({("id", "0", "49", 0), ("s", "n01", "n49", 17)} if layout == {} else {("id", "0", "48", 0), ("id", "1", "49", 0)})
+
+
+def test_optimize_sorts_bounded_files(spark, tmp_path, monkeypatch):
+    """files is the least number: more are written where one task would sort too many rows or bytes."""
+    from tidemark.sources import table as module
+
+    monkeypatch.setattr(module, "SORT_ROWS", 1000, raising=False)
+    df = spark.range(9000).selectExpr("id AS a", "id * 7919 % 9000 AS b")
+    t = Table.create(spark, str(tmp_path / "t"))
+    t.append(df.repartition(2))
+    assert t.optimize(["a", "b"], files=2, z=True)["files_written"] == 9
+    held = [m["rows"] for m in t.snapshot().files.values()]
+    assert len(held) == 9 and max(held) < 2000 and rows(t.to_df()) == rows(df)
+    monkeypatch.setattr(module, "SORT_ROWS", 1 << 40, raising=False)
+    few = Table.create(spark, str(tmp_path / "few"))
+    few.append(df.repartition(2))
+    assert few.optimize(["a"], files=2)["files_written"] == 2
+    assert few.optimize(["a"], files=2)["files_read"] == 0
+    wide = Table.create(spark, str(tmp_path / "wide"))
+    wide.append(df.repartition(2))
+    small = -(-sum(m["bytes"] for m in wide.snapshot().files.values()) // 5)
+    assert wide.optimize(["a"], files=2, target_bytes=small)["files_written"] == 5 and rows(wide.to_df()) == rows(df)

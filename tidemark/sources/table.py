@@ -58,6 +58,10 @@ def _load(v: Any) -> Any:
 RETENTION_HOURS = 7 * 24
 
 
+#: How many rows one task of optimize() sorts at most, about: 100 bytes each where they are narrow.
+SORT_ROWS = 4_000_000
+
+
 @dataclass(frozen=True)
 class Changed:
     """What a mutation did."""
@@ -463,7 +467,9 @@ class Table:
     def optimize(self, clustering: list[str], files: int | None = None, z: bool = False, target_bytes: int = 128 << 20) -> dict:
         """Merge each group of files whose ranges of all clustering columns overlap, sorted by them.
 
-        z=True orders by interleaved bits of two whole-number columns. Rows don't change.
+        z=True orders by interleaved bits of two whole-number columns. Rows don't change. files is how many
+        each group becomes at least: a task sorts one file, so none is meant to have more than target_bytes
+        or SORT_ROWS rows.
         """
         now = self.snapshot()
         schema = now.chain.current
@@ -475,7 +481,7 @@ class Table:
         actions, written = [], 0
         for g in groups:
             rows = self._read(now, [now.files[p] for p in g], schema)
-            n = files or max(1, -(-sum(now.files[p]["bytes"] for p in g) // target_bytes))
+            n = max(files or 1, -(-sum(now.files[p]["bytes"] for p in g) // target_bytes), -(-sum(now.files[p]["rows"] for p in g) // SORT_ROWS))
             key = [z_order(F.col(clustering[0]), F.col(clustering[1]))] if z else [F.col(f"`{c}`") for c in clustering]
             added = self._write(now, rows.repartitionByRange(n, *key).sortWithinPartitions(*key), schema)
             written += len(added)
